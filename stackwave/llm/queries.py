@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import langid, quality, toxicity
 from .near_dedup import near_duplicates
+from .samples import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +20,34 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.fit(langid.training_rows(docs))
+    return langid.with_fold(langid.identify(docs, model)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+def _scored(found: DataFrame, modulus: int, rest: int, threshold: float = 0.3) -> DataFrame:
+    held = F.coalesce(crc_mod("doc_id", modulus) == rest, F.lit(False))
+    return found.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs, model), 4, 2).select("doc_id", "held_out", "score", "predicted", "neighbours", "cosines")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs, model), 5, 0).select("doc_id", "held_out", "score", "predicted", "ranking")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_language_id": op2_language_id,
+    "op7_toxicity": op7_toxicity,
+    "op9_quality": op9_quality,
 }
 
 SQL: dict[str, str] = {}

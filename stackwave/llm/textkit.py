@@ -17,6 +17,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For terms without punctuation: every ASCII byte but letters and digits separates.
+SEPARATORS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _PRIME = 0x9E3779B97F4A7C15 | 1
@@ -34,7 +36,6 @@ def mix64(h: np.ndarray) -> np.ndarray:
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 _BYTE_LOWER = _BYTE[_LOWER]
-_BYTE_LOWER[_WHITE] = 0
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -70,12 +71,12 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs
 
 
-def row_slices(offsets: np.ndarray, budget: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``budget`` bytes of text and at most 4096 rows."""
+def row_slices(offsets: np.ndarray, budget: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``budget`` bytes of text and at most ``rows`` rows."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = int(np.searchsorted(offsets, offsets[lo] + budget, "right")) - 1
-        hi = min(max(hi, lo + 1), n, lo + 4096)
+        hi = min(max(hi, lo + 1), n, lo + rows)
         yield lo, hi
         lo = hi
 
@@ -85,7 +86,7 @@ class Words:
 
     __slots__ = ("ends", "first", "hash", "n_rows", "raw", "row", "starts")
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE):
         n = self.n_rows = len(offsets) - 1
         base = int(offsets[0])
         self.raw = seg = raw[base : int(offsets[-1])]
@@ -96,7 +97,7 @@ class Words:
             self.starts, self.ends, self.row, self.hash = none, none, none, np.zeros(0, np.uint64)
             self.first = np.zeros(n + 1, np.int64)
             return
-        white = _WHITE[seg]
+        white = white[seg]
         before = np.empty(size, bool)
         before[0] = True
         before[1:] = white[:-1]
@@ -164,3 +165,23 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             if len(s) > 1:
                 s = s[np.concatenate([[True], s[1:] != s[:-1]])]
             yield s
+
+
+class HashTable:
+    """Membership of 64-bit hashes in a fixed set: a bit table rules most out before the binary search."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.sorted, first = np.unique(hashes, return_index=True)
+        self.order = first
+        self.bits = max(12, int(len(self.sorted) * 16 - 1).bit_length()) if len(self.sorted) else 12
+        self.table = np.zeros(1 << self.bits, bool)
+        self.table[self.sorted >> np.uint64(64 - self.bits)] = True
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of ``hashes`` that are in the set, and the index of each in the array the set was made of."""
+        at = np.flatnonzero(self.table[hashes >> np.uint64(64 - self.bits)])
+        if not len(at) or not len(self.sorted):
+            return at[:0], at[:0]
+        k = np.minimum(np.searchsorted(self.sorted, hashes[at]), len(self.sorted) - 1)
+        hit = self.sorted[k] == hashes[at]
+        return at[hit], self.order[k[hit]]
