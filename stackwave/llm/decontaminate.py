@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import SEPARATORS, HashTable, Words, mix64, row_slices, string_buffers
+from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, row_slices, string_buffers
 
 MASKS = ("110101011", "1110010011", "1101100111")
 OVERLAP, LEAST, BLOCK_BYTES = 12, 5, 16 << 20
@@ -47,7 +47,7 @@ class Benchmark:
     """The searchable items of one block: terms, and for each mask a table of hashes with the places they come from."""
 
     def __init__(self, ids: np.ndarray, texts: pa.Array):
-        raw, offs = string_buffers(texts)
+        raw, offs = string_buffers(lowered(texts))
         words = Words(raw, offs, SEPARATORS)
         self.ids, self.terms, self.first = ids, words.hash, words.first
         counts = words.counts
@@ -67,7 +67,7 @@ class Benchmark:
 
     def overlaps(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
         """(row, [(item id, first term, end term, equal terms)]) of rows with an overlap."""
-        raw, offs = string_buffers(texts)
+        raw, offs = string_buffers(lowered(texts))
         for lo, hi in row_slices(offs):
             words = Words(raw, offs[lo : hi + 1], SEPARATORS)
             hits = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import masked_hashes
-from .textkit import SEPARATORS, HashTable, Words, row_slices, string_buffers
+from .textkit import SEPARATORS, HashTable, Words, lowered, row_slices, string_buffers
 
 GRAM, WINDOW, COVERAGE = 4, 3, 0.8
 
@@ -80,7 +80,7 @@ class LicenseIndex:
     def __init__(self, templates: Mapping[str, tuple[str, ...]]):
         flat = [(name, text) for name, texts in templates.items() for text in texts]
         self.names = [n for n, _ in flat]
-        raw, offs = string_buffers(pa.array([t for _, t in flat], pa.string()))
+        raw, offs = string_buffers(lowered(pa.array([t for _, t in flat], pa.string())))
         words = Words(raw, offs, SEPARATORS)
         self.terms = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
         index: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
@@ -102,7 +102,7 @@ class LicenseIndex:
 
     def scan(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[str, int, int, int, float]]]]:
         """(row, [(license, first term, end term, matched terms, coverage)]) of rows with a license."""
-        raw, offs = string_buffers(texts)
+        raw, offs = string_buffers(lowered(texts))
         for lo, hi in row_slices(offs):
             words = Words(raw, offs[lo : hi + 1], SEPARATORS)
             starts: dict[tuple[int, int], set[int]] = defaultdict(set)

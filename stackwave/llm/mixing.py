@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, maybe_broadcast
 
 WEIGHTS: Sequence[float] = (5, 2, 1)
 MOST, GROUP, FANOUT = 3, 4096, 1024
@@ -106,12 +106,17 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
     """Per row of ``docs``: doc_id, source, size, source_size, target, copies, taken."""
-    sized = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")), "sizes")
+    return mix_sizes(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")), weights, most)
+
+
+def mix_sizes(rows: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """``mix`` for rows of doc_id, source and size."""
+    sized = materialize(rows, "sizes")
     stats = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).collect()  # one row a source
     size = {r["source"]: r["n"] for r in stats}
     goal = targets(size, weights, most)
     table = [(r["source"], r["n"], goal[r["source"]], goal[r["source"]] / r["n"] if r["n"] else 0.0, -(-r["rows"] // GROUP)) for r in stats]
-    facts = docs.sparkSession.createDataFrame(table, "source string, source_size long, target double, ratio double, parts long")
+    facts = rows.sparkSession.createDataFrame(table, "source string, source_size long, target double, ratio double, parts long")
     rows = sized.join(F.broadcast(facts.withColumnRenamed("source", "name")), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # one row a source
     whole = F.floor(F.col("ratio") + 1e-12)
     scale = 1 << 53
@@ -135,3 +140,15 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST)
         most_parts = -(-most_parts // FANOUT)
         rows = rows.filter("open").withColumn("part", F.floor(F.col("part") / FANOUT))
     return done.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def repeat(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MOST) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them.
+
+    Rows that share doc_id and source are rounded as one and get equal numbers of copies.
+    """
+    units = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
+    chosen = materialize(mix_sizes(units, weights, most).filter("copies > 0").select(F.col("doc_id").alias("_unit"), F.col("source").alias("_source"), "copies"), "copies")
+    same = docs["doc_id"].eqNullSafe(F.col("_unit")) & docs["source"].eqNullSafe(F.col("_source"))
+    taken = docs.join(maybe_broadcast(chosen, 40), same)
+    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import decontaminate, htmltext, langid, licenses, mixing, quality, sharding, topk, toxicity
 from .near_dedup import near_duplicates
 from .samples import crc_mod
 
@@ -26,6 +26,32 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.with_fold(langid.identify(docs, model)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.shard(_table(spark, sf_dir, "documents"), 40)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def _scored(found: DataFrame, modulus: int, rest: int, threshold: float = 0.3) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", modulus) == rest, F.lit(False))
     return found.withColumns({"held_out": held, "predicted": (F.col("score") >= threshold).cast("int")})
@@ -46,8 +72,14 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_license_scan": op5_license_scan,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
+    "op8_source_mixing": op8_source_mixing,
     "op9_quality": op9_quality,
+    "op10_sharding": op10_sharding,
 }
 
 SQL: dict[str, str] = {}

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
 _WHITE = np.zeros(256, bool)
@@ -71,6 +72,11 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """The column in lower case, by Unicode; for terms that should match whatever their case."""
+    return pc.utf8_lower(column)
+
+
 def row_slices(offsets: np.ndarray, budget: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``budget`` bytes of text and at most ``rows`` rows."""
     lo, n = 0, len(offsets) - 1
