@@ -23,7 +23,7 @@ def from_interval(df: DataFrame, max_interval: int = 2, max_day: int = 180) -> D
     """
     order = Window.orderBy("date")
     later = F.array(*(F.lead("date", k).over(order) for k in range(1, max_interval + 1)))
-    rows = dates(df).select(F.col("date").alias("primary"), F.explode(later).alias("secondary"))
+    rows = dates(df).select(F.col("date").alias("primary"), later.alias("later")).select("primary", F.explode("later").alias("secondary"))
     return pairs(rows.filter(F.datediff("secondary", "primary") < max_day))
 
 

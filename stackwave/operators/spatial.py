@@ -110,7 +110,11 @@ def rings_touch_cell(x0: Column, y0: Column, x1: Column, y1: Column, rings: Colu
 
 def ring_bounds(rings: Column) -> Column:
     """Bounding box of rings as a struct."""
-    xs, ys = (F.flatten(F.transform(rings, lambda r, k=k: F.transform(r, lambda p: p[k]))) for k in ("x", "y"))
+
+    def along(axis: str) -> Column:
+        return F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[axis])))
+
+    xs, ys = along("x"), along("y")
     return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("bottom"), F.array_max(xs).alias("right"), F.array_max(ys).alias("top"))
 
 
@@ -191,7 +195,7 @@ def lattice_bounds(cells: DataFrame, x: str = "lon", y: str = "lat") -> DataFram
     """One row: resolution (extent by steps) and bounds, half a cell beyond the outer centres."""
     nx, ny = F.countDistinct(x), F.countDistinct(y)
     got = cells.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), nx.alias("width"), ny.alias("height"))
-    xres, yres = (F.col("x1") - F.col("x0")) / (F.col("width") - 1), (F.col("y1") - F.col("y0")) / (F.col("height") - 1)
+    xres, yres = (F.try_divide(F.col(f"{a}1") - F.col(f"{a}0"), F.col(n) - 1) for a, n in (("x", "width"), ("y", "height")))  # null for one line
     return got.select("width", "height", xres.alias("xres"), yres.alias("yres"), (F.col("x0") - xres / 2).alias("left"), (F.col("y0") - yres / 2).alias("bottom"), (F.col("x1") + xres / 2).alias("right"), (F.col("y1") + yres / 2).alias("top"))
 
 
