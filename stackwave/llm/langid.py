@@ -32,6 +32,8 @@ DIMENSIONS_LOG2 = 12
 STEPS = 120
 #: Less than this between the two best posteriors is ambiguous; so is a best posterior under SURE.
 AMBIGUOUS, SURE = 0.1, 0.4
+#: Rows of a batch that are filtered at a time, so that no second copy of a whole batch is held.
+PIECE = 1024
 _D = 1 << DIMENSIONS_LOG2
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
@@ -39,8 +41,8 @@ _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _LETTER = regex.compile(r"\p{L}")
 
 
-def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, end row, matrix of unit rows) for slices of a string column."""
+def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, matrix of unit rows, which rows hold an ASCII letter) for slices of a string column."""
     raw, offs = string_buffers(column)
     for lo, hi in row_slices(offs, rows=256):
         seg, at, n = _FOLD[raw[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], hi - lo
@@ -60,7 +62,9 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
             counts += np.bincount(key[inside], minlength=n * _D)
         counts = counts.reshape(n, _D)
         counts /= np.maximum(counts.sum(1, keepdims=True), 1)
-        yield lo, hi, np.sqrt(counts, out=counts).astype(np.float32)
+        letters = np.zeros(len(seg) + 1, np.int64)
+        np.cumsum((seg >= 97) & (seg <= 122), out=letters[1:])
+        yield lo, hi, np.sqrt(counts, out=counts).astype(np.float32), np.diff(letters[at]) > 0
 
 
 def codewords(n: int) -> np.ndarray:
@@ -98,7 +102,7 @@ def fit(labelled: DataFrame, cap: int = CAP) -> LanguageModel:
     langs = sorted(set(names))
     if not langs:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((_D, 0)), np.zeros(_D), np.zeros(0), np.zeros(0))
-    x = np.concatenate([m for _, _, m in features(table["text"])])
+    x = np.concatenate([m for _, _, m, _ in features(table["text"])])
     codes = codewords(len(langs))
     y = codes[np.searchsorted(np.array(langs, object), names)]
     mean = x.mean(0)
@@ -119,20 +123,17 @@ def _predict(model: LanguageModel, texts: pa.Array) -> tuple[list, np.ndarray, n
     """Predicted language, score and ambiguity of each text."""
     n = len(texts)
     lang, score, doubt = np.full(n, "und", object), np.zeros(n), np.ones(n, bool)
-    raw, offs = string_buffers(texts)
-    ascii_letter = np.concatenate([[0], np.cumsum(((_FOLD[raw[offs[0] : offs[-1]]] - 97) < 26))]) if n else np.zeros(1)
-    has = np.diff(ascii_letter[offs - offs[0]]) > 0
-    for r in np.flatnonzero(~has):
-        has[r] = bool(_LETTER.search(texts[int(r)].as_py() or ""))
-    if model.langs:
-        names = np.array(model.langs, object)
-        for lo, hi, x in features(texts):
+    names = np.array(model.langs, object)
+    for lo, hi, x, has in features(texts):
+        for r in np.flatnonzero(~has):
+            has[r] = bool(_LETTER.search(texts[lo + int(r)].as_py() or ""))
+        if len(names):
             p = model.posteriors(x)
             best = p.argmax(1)
             top = p[np.arange(hi - lo), best]
             p[np.arange(hi - lo), best] = 0
-            lang[lo:hi], score[lo:hi], doubt[lo:hi] = names[best], np.clip(top, 0, 1), (top - p.max(1) < AMBIGUOUS) | (top < SURE)
-    lang[~has], score[~has], doubt[~has] = "und", 0.0, True
+            doubtful = (top - p.max(1) < AMBIGUOUS) | (top < SURE) if len(names) > 1 else np.zeros(hi - lo, bool)
+            lang[lo:hi], score[lo:hi], doubt[lo:hi] = np.where(has, names[best], "und"), np.where(has, np.clip(top, 0, 1), 0.0), ~has | doubtful
     return lang.tolist(), score, doubt
 
 
@@ -152,9 +153,11 @@ def known_only(docs: DataFrame, model: LanguageModel, text: str = "text") -> Dat
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lang, score, doubt = _predict(model, b.column(at))
-            yield b.filter(pa.array((np.array(lang, object) != "und") & ~(doubt & (score < SURE))))
+        for whole in batches:
+            for k in range(0, whole.num_rows, PIECE):
+                b = whole.slice(k, PIECE)
+                lang, score, doubt = _predict(model, b.column(at))
+                yield b.filter(pa.array((np.array(lang, object) != "und") & ~(doubt & (score < SURE))))
 
     return docs.mapInArrow(run, docs.schema)
 
