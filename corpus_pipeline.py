@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stackwave.llm import decontaminate, langid, mixing, sharding
 from stackwave.llm.near_dedup import near_duplicates
-from stackwave.llm.shared import materialize, maybe_broadcast
+from stackwave.llm.shared import fresh, materialize, maybe_broadcast
 
 SHARDS = 40
 
@@ -23,8 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    dropped = materialize(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("gone")), "dropped")
-    return docs.join(maybe_broadcast(dropped, 8), docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = fresh("gone", docs.columns)
+    dropped = materialize(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone)), "dropped")
+    return docs.join(maybe_broadcast(dropped, 8), docs["doc_id"] == dropped[gone], "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

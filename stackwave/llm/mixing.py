@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, maybe_broadcast
+from .shared import fresh, materialize, maybe_broadcast
 
 WEIGHTS: Sequence[float] = (5, 2, 1)
 MOST, GROUP, FANOUT = 3, 4096, 1024
@@ -148,7 +148,9 @@ def repeat(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MO
     Rows that share doc_id and source are rounded as one and get equal numbers of copies.
     """
     units = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size")).groupBy("doc_id", "source").agg(F.sum("size").alias("size"))
-    chosen = materialize(mix_sizes(units, weights, most).filter("copies > 0").select(F.col("doc_id").alias("_unit"), F.col("source").alias("_source"), "copies"), "copies")
-    same = docs["doc_id"].eqNullSafe(F.col("_unit")) & docs["source"].eqNullSafe(F.col("_source"))
+    unit, source, copies, copy = (fresh(n, docs.columns) for n in ("unit", "from_source", "copies", "copy"))
+    chosen = mix_sizes(units, weights, most).filter("copies > 0").select(F.col("doc_id").alias(unit), F.col("source").alias(source), F.col("copies").cast("int").alias(copies))
+    chosen = materialize(chosen, "copies")
+    same = docs["doc_id"].eqNullSafe(chosen[unit]) & docs["source"].eqNullSafe(chosen[source])
     taken = docs.join(maybe_broadcast(chosen, 40), same)
-    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+    return taken.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy)).drop(copy)

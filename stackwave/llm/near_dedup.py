@@ -217,7 +217,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = connected_components(confirmed_links)
 
     same = classes.filter("copies > 1").select("s1", "s2", "n_shingles", "rep")
-    owned = sketched.select("doc_id", "n_shingles", "s1", "s2").join(same, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    owned = sketched.select("doc_id", "n_shingles", "s1", "s2").join(same, ["s1", "s2", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
     out = owned.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -71,3 +71,11 @@ def by_group(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         held = [batch.slice(cut)]
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+
+
+def fresh(name: str, columns: Iterable[str]) -> str:
+    """The name with underscores in front until no column has it, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
