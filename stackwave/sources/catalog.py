@@ -87,7 +87,7 @@ def glob_expression(path: Column, pattern: str) -> Column:
 
 
 def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, name, size, valid) of the files under a folder; an empty file isn't readable.  File contents aren't read."""
+    """(path, name, size, valid) of the files under a folder.  Contents aren't read; empty files are skipped by Spark's reader."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return files.select("path", file_name(F.col("path")).alias("name"), F.col("length").alias("size"), (F.col("length") > 0).alias("valid"))
 
