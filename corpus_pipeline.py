@@ -11,18 +11,20 @@ from pyspark.sql import functions as F
 
 from stackwave.llm import decontaminate, langid, mixing, sharding
 from stackwave.llm.near_dedup import near_duplicates
-from stackwave.llm.shared import fresh, materialize, maybe_broadcast
+from stackwave.llm.shared import fresh, materialize, maybe_broadcast, small_batches
 
 SHARDS = 40
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letters, or no codeword near."""
+    small_batches(spark)
     return langid.known_only(docs, langid.fit(langid.training_rows(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    small_batches(spark)
     gone = fresh("gone", docs.columns)
     dropped = materialize(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone)), "dropped")
     return docs.join(maybe_broadcast(dropped, 8), docs["doc_id"] == dropped[gone], "left_anti")
@@ -30,6 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
+    small_batches(spark)
     return decontaminate.clean_only(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import decontaminate, htmltext, langid, licenses, mixing, quality, sharding, topk, toxicity
 from .near_dedup import near_duplicates
 from .samples import crc_mod
+from .shared import small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

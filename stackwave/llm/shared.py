@@ -38,6 +38,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Lets the session send texts to Python in batches of at most ``size`` bytes; a smaller setting stays.
+
+    By rows alone a batch of long texts would be held several times over in the JVM and in the worker.
+    """
+    now = "".join(c for c in str(spark.conf.get(_BATCH)) if c.isdigit())
+    if not now or int(now) > size:
+        spark.conf.set(_BATCH, str(size))
+
+
 def fits(df: DataFrame, column_bytes: int, budget: int = 32 << 20) -> bool:
     """Whether a table of fixed-width rows is small enough to broadcast; ``df`` should be materialized."""
     return df.count() * column_bytes <= budget
