@@ -90,7 +90,7 @@ def row_slices(offsets: np.ndarray, budget: int = SLICE_BYTES, rows: int = 4096)
 class Words:
     """The words of a slice of rows: for each word its hash, row (from 0), and byte span inside ``raw``."""
 
-    __slots__ = ("ends", "first", "hash", "n_rows", "raw", "row", "starts")
+    __slots__ = ("_sums", "ends", "first", "hash", "n_rows", "raw", "row", "starts")
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray, white: np.ndarray = _WHITE):
         n = self.n_rows = len(offsets) - 1
@@ -101,7 +101,7 @@ class Words:
         if size == 0:
             none = np.zeros(0, np.int64)
             self.starts, self.ends, self.row, self.hash = none, none, none, np.zeros(0, np.uint64)
-            self.first = np.zeros(n + 1, np.int64)
+            self.first, self._sums = np.zeros(n + 1, np.int64), np.zeros(1, np.uint64)
             return
         white = white[seg]
         before = np.empty(size, bool)
@@ -125,7 +125,15 @@ class Words:
         np.cumsum(v, out=sums[1:])
         h = sums[self.ends] - sums[self.starts]
         h *= down[self.starts]
-        self.hash = mix64(h)
+        self.hash, self._sums = mix64(h), sums
+
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words longer than ``size`` bytes, and the hashes of their first ``size`` bytes as if words."""
+        at = np.flatnonzero(self.ends - self.starts > size)
+        start = self.starts[at]
+        h = self._sums[start + size] - self._sums[start]
+        h *= _power(len(self.raw) + 1)[1][start]
+        return at, mix64(h)
 
     @property
     def counts(self) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, searched through a block-max inverted index.
 
-Terms are lower-cased runs of letters and digits.  From a bounded sample of labelled rows the terms that go with label 1
+Terms are lower-cased runs of letters and digits, and their stems (the first 4 to 8 bytes of longer ones).  From a bounded sample of labelled rows the terms that go with label 1
 become the lexicon; document frequencies of its terms are counted over all documents.  The labelled examples are indexed by
 those terms in id-aligned blocks; each term keeps the largest weight of every block.  A document's bound for a block is the
 sum of its weights times those maxima.  Blocks are opened by falling bound until the bound is under the k-th best cosine,
@@ -15,6 +15,7 @@ of label 1 (0 without labels).  Several labels of one document: the highest coun
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,28 +25,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .samples import bounded, crc_mod
-from .textkit import SEPARATORS, HashTable, Words, mix64, row_slices, string_buffers
+from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, row_slices, string_buffers
 
 #: Labelled rows of each label that are sampled; examples in the lexicon; neighbours.
 CAP, LEXICON, NEIGHBOURS, BLOCK = 2500, 1000, 15, 64
-#: A lexicon term is in at least so many toxic examples, and its log odds ratio is so large, less 2.6 standard errors.
-LEAST_DF, LEAST_LOG_ODDS = 5, 2.0
+#: Lengths of stems in bytes.
+STEMS = (4, 5, 6, 7, 8)
+#: A lexicon term is in so many examples and has a log odds ratio of so much, at least; RATE is the share of lexicon terms that may be there by chance.
+LEAST_DF, LEAST_LOG_ODDS, RATE = 4, 1.5, 0.005
 
 
 def _row_terms(column: pa.Array, table: HashTable | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, distinct terms, their counts): hashes, or numbers in ``table`` (rows without any are left out)."""
-    raw, offs = string_buffers(column)
+    raw, offs = string_buffers(lowered(column))
     for lo, hi in row_slices(offs):
         words = Words(raw, offs[lo : hi + 1], SEPARATORS)
+        parts = [(words.row, words.hash), *((words.row[at], h) for at, h in map(words.prefixes, STEMS))]
         if table is None:
+            rows, terms = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(rows, kind="stable")
+            terms, at = terms[order], np.searchsorted(rows[order], np.arange(hi - lo + 1))
             for r in range(hi - lo):
-                yield lo + r, *np.unique(words.hash[words.first[r] : words.first[r + 1]], return_counts=True)
+                yield lo + r, *np.unique(terms[at[r] : at[r + 1]], return_counts=True)
         else:
-            at, term = table.find(words.hash)
-            row = words.row[at]
-            cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1], [True]])) if len(row) else np.zeros(0, int)
+            found = [(rows[at], term) for rows, h in parts for at, term in [table.find(h)]]
+            rows, terms = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(rows, kind="stable")
+            rows, terms = rows[order], terms[order]
+            cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1], [True]])) if len(rows) else np.zeros(0, int)
             for a, b in zip(cut[:-1], cut[1:], strict=True):
-                yield lo + int(row[a]), *np.unique(term[a:b], return_counts=True)
+                yield lo + int(rows[a]), *np.unique(terms[a:b], return_counts=True)
 
 
 @dataclass
@@ -152,9 +161,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[in
         a, n = np.bincount(back[once], toxic[once], len(terms)), np.bincount(back[once], minlength=len(terms))
         n_toxic, n_all = len(np.unique(group[y == 1])), len(np.unique(group))
         p, q = n_toxic - a, n_all - n_toxic - (n - a)
-        odds = np.log((a + 0.5) * (q + 0.5) / ((n - a + 0.5) * (p + 0.5))) - 2.6 * np.sqrt(1 / (a + 0.5) + 1 / (n - a + 0.5) + 1 / (p + 0.5) + 1 / (q + 0.5)) * (n > a)
-        good = np.flatnonzero((a >= LEAST_DF) & (odds >= LEAST_LOG_ODDS))
-        lexicon = terms[np.sort(good[np.argsort(-odds[good] * np.sqrt(a[good]), kind="stable")][:LEXICON])]
+        odds = np.log((a + 0.5) * (q + 0.5) / ((n - a + 0.5) * (p + 0.5)))
+        share = n_toxic / n_all
+        with np.errstate(divide="ignore", invalid="ignore"):  # the likelihood ratio of a term's share of label 1 against the share of all
+            gain = 2 * (np.nan_to_num(a * np.log(a / (n * share))) + np.nan_to_num((n - a) * np.log((n - a) / (n * (1 - share)))))
+        # false discoveries are held to RATE among the terms that are frequent enough to show anything
+        usual = np.flatnonzero(n >= LEAST_DF)
+        likely = usual[(odds[usual] >= LEAST_LOG_ODDS) & (gain[usual] > 0)]
+        chance = np.array([math.erfc(math.sqrt(x / 2)) / 2 for x in gain[likely]])
+        order = np.argsort(chance, kind="stable")
+        passed = np.flatnonzero(chance[order] <= RATE * np.arange(1, len(order) + 1) / max(1, len(usual)))
+        good = likely[order[: passed[-1] + 1]] if len(passed) else likely[:0]
+        lexicon = terms[np.sort(good[:LEXICON])]
     else:
         lexicon = np.zeros(0, np.uint64)
     df, n_docs = _document_frequencies(docs, lexicon) if len(lexicon) else (np.zeros(0), 0)
