@@ -107,7 +107,7 @@ def pairs_sorted(spark, sf):
     return P.sort(A.event_network(spark, sf), "days", ascending=False).select("pair_id", "rank")
 
 
-@query("SELECT d FROM (SELECT p AS d FROM kept UNION SELECT s FROM kept) WHERE d <> (SELECT min(p) FROM kept) AND d NOT IN (SELECT s FROM kept)", kept="SELECT * FROM onet WHERE month(s) <> 6")
+@query("SELECT d FROM (SELECT p AS d FROM onet UNION SELECT s FROM onet) WHERE d <> (SELECT min(p) FROM onet) AND d NOT IN (SELECT s FROM kept)", kept="SELECT * FROM onet WHERE month(s) <> 6")
 def pairs_gaps(spark, sf):
     net = A.order_network(spark, sf)
     return _out(P.gaps(net, net.filter(F.month("secondary") == 6)), "d")

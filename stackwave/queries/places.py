@@ -76,7 +76,7 @@ def dataset_bounds(spark, sf):
     return S.dataset_bounds(boxes)
 
 
-@query("SELECT CAST(max(c) - min(c) + 1 AS BIGINT) AS width, CAST(max(r) - min(r) + 1 AS BIGINT) AS height, CAST(1 AS DOUBLE) AS xres, CAST(1 AS DOUBLE) AS yres, CAST(0 AS DOUBLE) AS \"left\", CAST(15 - max(r) AS DOUBLE) AS bottom, CAST(16 AS DOUBLE) AS \"right\", CAST(16 AS DOUBLE) AS top FROM view16", view16=_IMG)
+@query("SELECT CAST(max(c) - min(c) + 1 AS BIGINT) AS width, CAST(max(r) - min(r) + 1 AS BIGINT) AS height, CAST(1 AS DOUBLE) AS xres, CAST(CASE WHEN max(r) > min(r) THEN 1 END AS DOUBLE) AS yres, CAST(min(c) AS DOUBLE) AS \"left\", CAST(CASE WHEN max(r) > min(r) THEN 15 - max(r) END AS DOUBLE) AS bottom, CAST(max(c) + 1 AS DOUBLE) AS \"right\", CAST(CASE WHEN max(r) > min(r) THEN 16 END AS DOUBLE) AS top FROM view16", view16=_IMG)
 def lattice_bounds(spark, sf):
     cells = _image(spark, sf).select(_GRID.x(F.col("col")).alias("lon"), _GRID.y(F.col("row")).alias("lat"))
     return S.lattice_bounds(cells)

@@ -256,20 +256,20 @@ def seasonal_amplitude(spark, sf):
     return A.stack(spark, sf).select("pair_id", F.col("row").alias("r"), F.col("col").alias("c"), _r(H.seasonal_amplitude(F.col("phase"), F.col("coh"))).alias("amplitude"))
 
 
-@query("SELECT a.pair_id AS a, b.pair_id AS b, round(covar_samp(a.phase, b.phase), 4) + 0.0 AS covariance FROM ifg a JOIN ifg b ON a.u = b.u WHERE a.u % 10 = 3 AND a.i < 8 AND b.i < 8 GROUP BY ALL")
+@query("SELECT a.pair_id AS a, b.pair_id AS b, round(covar_samp(a.phase, b.phase), 5) + 0.0 AS covariance FROM ifg a JOIN ifg b ON a.u = b.u WHERE a.u % 10 = 3 AND a.i < 8 AND b.i < 8 GROUP BY ALL")
 def reference_covariance(spark, sf):
     rows = A.stack(spark, sf).filter("i < 8")
     user = F.col("row") * A.COLUMNS + F.col("col")
     samples = rows.filter(user % 10 == 3).select("pair_id", user.alias("point_id"), F.col("phase").alias("value"))
-    return R.sample_covariance(samples).select("a", "b", _r("covariance", 4).alias("covariance"))
+    return R.sample_covariance(samples).select("a", "b", _r("covariance", 5).alias("covariance"))
 
 
-@query("SELECT pair_id, round(var_samp(phase), 4) + 0.0 AS variance, round(1 / sqrt(var_samp(phase)), 8) + 0.0 AS weight FROM ifg WHERE u % 10 = 3 GROUP BY pair_id")
+@query("SELECT pair_id, round(var_samp(phase), 5) + 0.0 AS variance, round(1 / sqrt(var_samp(phase)), 8) + 0.0 AS weight FROM ifg WHERE u % 10 = 3 GROUP BY pair_id")
 def reference_variance(spark, sf):
     rows = A.stack(spark, sf)
     samples = rows.join(_reference(rows), ["row", "col"], "left_semi").select("pair_id", F.col("phase").alias("value"))
     found = R.sample_variance(samples)
-    return found.select("pair_id", _r("variance", 4).alias("variance"), _r(U.weight(F.col("variance")), 8).alias("weight"))
+    return found.select("pair_id", _r("variance", 5).alias("variance"), _r(U.weight(F.col("variance")), 8).alias("weight"))
 
 
 def _variances(rows: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def _key(row: tuple) -> tuple:
 
 def differences(df, sql: str, con) -> list[str]:
     """What differs: columns, kinds, rows."""
-    want = con.execute(sql).to_arrow_table() if hasattr(con.execute("SELECT 1"), "to_arrow_table") else con.execute(sql).fetch_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     names = sorted(df.columns)
     if names != sorted(want.column_names):
         return [f"columns {names} and {sorted(want.column_names)}"]
