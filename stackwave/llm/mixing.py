@@ -152,5 +152,5 @@ def repeat(docs: DataFrame, weights: Sequence[float] = WEIGHTS, most: float = MO
     chosen = mix_sizes(units, weights, most).filter("copies > 0").select(F.col("doc_id").alias(unit), F.col("source").alias(source), F.col("copies").cast("int").alias(copies))
     chosen = materialize(chosen, "copies")
     same = docs["doc_id"].eqNullSafe(chosen[unit]) & docs["source"].eqNullSafe(chosen[source])
-    taken = docs.join(maybe_broadcast(chosen, 40), same)
+    taken = docs.join(maybe_broadcast(chosen, 120), same)
     return taken.select(*(docs[c] for c in docs.columns), F.explode(F.array_repeat(F.lit(0), F.col(copies))).alias(copy)).drop(copy)
