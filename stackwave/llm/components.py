@@ -9,11 +9,15 @@ from .shared import materialize
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over links (a, b) with a > b."""
+    """One large-star and one small-star step over links (a, b) with a > b.
+
+    Both sides of each join are written tables, so a hub's rows meet its one minimum in a plain join, whose skewed partitions the
+    planner can split; a sum and a join in one stage could not be.
+    """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
+    large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+    low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
     small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return low.select("a", F.col("m").alias("b")).union(small).distinct()
 
