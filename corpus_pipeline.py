@@ -14,6 +14,8 @@ from stackwave.llm.near_dedup import near_duplicates
 from stackwave.llm.shared import fresh, materialize, maybe_broadcast, small_batches
 
 SHARDS = 40
+#: Hundredths of the word shingles that near copies share; op1's own contract is 85.
+NEAR = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near duplicates."""
     small_batches(spark)
     gone = fresh("gone", docs.columns)
-    dropped = materialize(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(gone)), "dropped")
+    dropped = materialize(near_duplicates(docs, threshold=NEAR).filter("not kept").select(F.col("doc_id").alias(gone)), "dropped")
     return docs.join(maybe_broadcast(dropped, 8), docs["doc_id"] == dropped[gone], "left_anti")
 
 

@@ -6,7 +6,7 @@ Empty buckets of short documents copy a bucket chosen by a fixed sequence (densi
 documents agrees with the probability of their similarity whatever their lengths.
 
 1. Equal sets become one class (hash aggregation, copies combine before the shuffle).
-2. Every class emits 32 bands of 4 compressed registers.  At similarity 0.85 all 32 bands miss with probability 5e-11.
+2. Every class emits 32 bands of 4 compressed registers.  All 32 bands miss with probability 5e-11 at similarity 0.85, 5e-8 at 0.8.
 3. Classes that share a band are compared by the collision-corrected estimate, inside the task that has the band; a band
    with many classes is dealt out as pairs of blocks.  The task emits a spanning forest, not all pairs.
 4. The components of that candidate graph are read again as texts, and within each the links are confirmed on the full
@@ -21,6 +21,7 @@ null have a null component_id and are kept.  An empty table gives an empty one;
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from .textkit import mix64, shingle_sets
 SHINGLE = 5
 BUCKETS, BANDS, MANTISSA = 128, 32, 10
 ROWS_A_BAND = BUCKETS // BANDS
-#: An estimate below this is no candidate: 0.85 less about eight standard deviations of the estimate.
-ESTIMATE = 0.6
+#: Least similarity, in hundredths, of two documents that are linked.
+THRESHOLD = 85
 #: A group of more classes (or, for full sets, of more shingles) than this is compared as pairs of blocks.
 BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
@@ -75,21 +76,27 @@ def estimates(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray) -
     return (agree - chance) / (1 - chance)
 
 
-def _near(one: int, others: np.ndarray, sketches: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def least_estimate(threshold: int) -> float:
+    """An estimate below this is no candidate: the threshold less about eight standard deviations of the estimate; 0.6 for 85."""
+    j = threshold / 100
+    return round(j - 8 * (j * (1 - j) / BUCKETS) ** 0.5, 2)
+
+
+def _near(one: int, others: np.ndarray, sketches: np.ndarray, sizes: np.ndarray, threshold: int) -> np.ndarray:
     """Those of ``others`` that pass the size filter and the estimate against row ``one``."""
     n, m = sizes[one], sizes[others]
-    others = others[100 * np.minimum(n, m) >= 85 * np.maximum(n, m)]
-    return others[estimates(sketches[one], n, sketches[others], sizes[others]) >= ESTIMATE] if len(others) else others
+    others = others[100 * np.minimum(n, m) >= threshold * np.maximum(n, m)]
+    return others[estimates(sketches[one], n, sketches[others], sizes[others]) >= least_estimate(threshold)] if len(others) else others
 
 
-def _forest(sketches: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
+def _forest(sketches: np.ndarray, sizes: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """A spanning forest of the rows' candidate graph."""
     rest, out = np.arange(len(sizes)), []
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             x = queue.pop()
-            found = _near(x, rest, sketches, sizes)
+            found = _near(x, rest, sketches, sizes, threshold)
             out += [(x, int(y)) for y in found]
             queue += found.tolist()
             rest = np.setdiff1d(rest, found, True)
@@ -123,7 +130,7 @@ def _links(pairs: list[tuple[int, int]], ids: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids[p[:, 0]]), pa.array(ids[p[:, 1]])], names=["a", "b"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (g, rep, n_shingles, sketch): a spanning forest of the candidates of every group g."""
     for table in by_group(batches, "g"):
         g, ids, sizes = (table[c].to_numpy() for c in ("g", "rep", "n_shingles"))
@@ -135,18 +142,18 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n, m = sizes[one], sizes[one + 1]
             for x in range(0, len(one), 4096):
                 a = one[x : x + 4096]
-                agree = (sketches[a] == sketches[a + 1]).mean(1) >= ESTIMATE
-                a = a[agree & (100 * np.minimum(n, m)[x : x + 4096] >= 85 * np.maximum(n, m)[x : x + 4096])]
+                agree = (sketches[a] == sketches[a + 1]).mean(1) >= least_estimate(threshold)
+                a = a[agree & (100 * np.minimum(n, m)[x : x + 4096] >= threshold * np.maximum(n, m)[x : x + 4096])]
                 out += zip(a.tolist(), (a + 1).tolist(), strict=True)
         for k in np.flatnonzero(width > 2):
             lo, hi = bounds[k], bounds[k + 1]
-            out += [(lo + a, lo + b) for a, b in _forest(sketches[lo:hi], sizes[lo:hi])]
+            out += [(lo + a, lo + b) for a, b in _forest(sketches[lo:hi], sizes[lo:hi], threshold)]
         if out:
             yield _links(out, ids)
 
 
-def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links on full sets that connect what all links connect: 100 * intersection >= 85 * union.
+def confirmed(sets: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links on full sets that connect what all links connect: 100 * intersection >= threshold * union.
 
     A row is compared with all rows not compared yet that pass size and estimate and aren't connected with it by now.
     """
@@ -154,26 +161,26 @@ def confirmed(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     sizes = np.array([len(s) for s in sets])
     if n == 2:
         both = len(np.intersect1d(*sets, assume_unique=True))
-        return [(0, 1)] if both and 100 * both >= 85 * (sizes.sum() - both) else []
+        return [(0, 1)] if both and 100 * both >= threshold * (sizes.sum() - both) else []
     sketches = np.stack([sketch(s) for s in sets])
     label, out, rest = np.arange(n), [], np.arange(n)
     for x in range(n - 1):
         rest = rest[1:]
         others = rest[label[rest] != label[x]]
-        if not len(others) or not len(others := _near(x, others, sketches, sizes)):
+        if not len(others) or not len(others := _near(x, others, sketches, sizes, threshold)):
             continue
         joined = np.concatenate([sets[y] for y in others])
         mine = sets[x]
         hit = mine[np.minimum(np.searchsorted(mine, joined), len(mine) - 1)] == joined
         both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[others])[:-1]]), dtype=np.int64)
-        for y in others[100 * both >= 85 * (sizes[x] + sizes[others] - both)].tolist():
+        for y in others[100 * both >= threshold * (sizes[x] + sizes[others] - both)].tolist():
             if label[y] != label[x]:
                 label[label == label[y]] = label[x]
                 out.append((x, y))
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Sorted rows (g, doc_id, text): confirmed links of every group g."""
     for table in by_group(batches, "g"):
         g, ids = table["g"].to_numpy(), table["doc_id"].to_numpy()
@@ -182,7 +189,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
             if hi - lo > 1:
                 sets = list(shingle_sets(table["text"].slice(lo, hi - lo), SHINGLE))
-                out += [(lo + a, lo + b) for a, b in confirmed(sets)]
+                out += [(lo + a, lo + b) for a, b in confirmed(sets, threshold)]
         if out:
             yield _links(out, ids)
 
@@ -194,8 +201,11 @@ def _block_pairs(df: DataFrame, key: str, row: str) -> DataFrame:
     return df.withColumn("g", F.explode(parts)).drop("blocks", key)
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id).
+
+    Documents whose similarity is ``threshold`` hundredths or more are linked.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = materialize(rows.mapInArrow(_sketch_rows, "doc_id long, n_shingles long, s1 long, s2 long, sketch binary"), "sketches")
     known = sketched.filter("n_shingles > 0 and doc_id is not null")
@@ -206,14 +216,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = bands.join(crowd, "band")
     drawn = members.join(classes.select("rep", "n_shingles", "sketch"), "rep")
     grouped = _block_pairs(drawn, "band", "rep").select("g", "rep", "n_shingles", "sketch")
-    links = grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_candidates, "a long, b long")
+    links = grouped.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_candidates, threshold=threshold), "a long, b long")
     clusters = materialize(connected_components(links), "clusters")
 
     sizes = clusters.join(classes.select(F.col("rep").alias("node"), "n_shingles"), "node").groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
     placed = materialize(clusters.join(sizes, "component"), "placed")
     texts = rows.join(maybe_broadcast(placed, 24), rows["doc_id"] == placed["node"]).select("doc_id", "component", "blocks", "text")
     grouped = _block_pairs(texts, "component", "doc_id").select("g", "doc_id", "text")
-    confirmed_links = grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_verify, "a long, b long")
+    confirmed_links = grouped.repartition("g").sortWithinPartitions("g").mapInArrow(partial(_verify, threshold=threshold), "a long, b long")
     found = connected_components(confirmed_links)
 
     same = classes.filter("copies > 1").select("s1", "s2", "n_shingles", "rep")

@@ -4,7 +4,7 @@ import corpus_pipeline
 from stackwave.llm import mixing
 
 from .cases import EN, SCHEMA, frame, odd_rows, row, sentence
-from .test_near_dedup import brute
+from .test_near_dedup import brute, shingles
 
 
 def test_stages_and_result(spark, tmp_path):
@@ -38,3 +38,14 @@ def test_stages_take_odd_and_empty_tables(spark, tmp_path):
     for rows in (odd_rows(), []):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, frame(spark, rows), str(tmp_path)).count() <= 3 * len(rows)
+
+
+def test_near_dedup_stage_drops_copies_from_0_8_on(spark, tmp_path):
+    """Pairs that share 4 of 5, 21 of 26 and 16 of 21 of their shingles: only the last pair stays whole."""
+    words = [f"w{k}" for k in range(400)]
+    pairs = [(words[:8], words[:9]), (words[100:125], words[100:130]), (words[200:220], words[200:225])]
+    rows = [row(10 * k + j, " ".join(t)) for k, pair in enumerate(pairs) for j, t in enumerate(pair)]
+    similar = [len(shingles(rows[i][1]) & shingles(rows[i + 1][1])) / len(shingles(rows[i][1]) | shingles(rows[i + 1][1])) for i in (0, 2, 4)]
+    assert similar[0] == 0.8 and 0.8 < similar[1] < 0.85 and similar[2] < 0.8
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, rows), str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 20, 21]
