@@ -4,9 +4,10 @@ A page is read into a tree (raw-text elements, implied end tags and cut-off mark
 hold the article (scripts, styles, menus, headers and footers of the site, sidebars, forms, dialogs, and elements whose class, id or
 role says notice, advert, comments and the like) take no part.  For every other node, with C characters, T tags below it, LC link characters and
 LT link tags, the composite density is C/T times the logarithm of C/LC * T/LT to a base that grows with the share of links
-in the node and in the page.  The node whose children's densities have the largest sum is the core.  The least density on
-the path from the body to the core is the threshold: neighbours of that path join the text when they reach it and aren't
-mostly links.  A core inside <article> or <main> stands for the whole of that element.
+in the node and in the page.  The node whose children's densities have the largest sum is the core.  A core inside <article> or
+<main> stands for the whole of that element.  Otherwise the neighbours of the path from the body to the core join the text,
+whatever their density, when less than ``LINKS`` of their characters are links; loose text counts with the inline elements beside
+it.  Headings beside the path join in any case; of a neighbour with more links, the parts with fewer join.
 
 Blocks (paragraphs, headings, list items, cells, ...) are joined by one newline in page order; character references are
 decoded, white space within a block becomes one space.  A <br> is white space.  Null and empty pages, and pages without text,
@@ -35,9 +36,11 @@ _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLO
 _NEVER = frozenset("head nav footer aside form button select input dialog menu search svg math object canvas audio video map".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
 _NAMES = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disclaimer discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion promoted related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEEPS = frozenset(("html", "body", "article", "main"))
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 _STATE = frozenset(("has", "with", "no", "without", "is"))
+LINKS = 0.3
 
 
 class _Node:
@@ -173,16 +176,40 @@ def _content(nodes: list[_Node]) -> set[int]:
     if whole:
         return {id(whole[-1])}
     chosen = {id(core)}
-    if core is body:
-        return chosen
-    least = min(n.density for n in path[:-1])
-    for node in path[1:]:
-        for c in node.children:
-            if isinstance(c, _Node) and not c.out and c not in path and c.density >= least and c.link_chars < 0.3 * c.chars:
-                chosen.add(id(c))
+    todo, on_path, broken = path[1:], {id(n) for n in path}, set()
+    for node in reversed(nodes):
+        if node.parent is not None and (node.name in _BLOCK or id(node) in broken):
+            broken.add(id(node))
+            broken.add(id(node.parent))
+    while todo:
+        node = todo.pop()
+        few, many = [], []
+        for u in _units(node, broken):
+            if id(u[0]) not in on_path:
+                fits = sum(c.link_chars for c in u) < LINKS * sum(c.chars for c in u) or id(node) in on_path and u[0].name in _HEADINGS
+                (few if fits else many).append(u)
+        if id(node) not in on_path and all(u[0].name in _HEADINGS for u in few):
+            few = []  # the caption of a menu
+        chosen.update(id(c) for u in few for c in u)
+        todo += [u[0] for u in many if id(u[0]) in broken and u[0].name != "a"]
     return chosen
 
 
+def _units(node: _Node, broken: set[int]) -> list[list[_Node]]:
+    """Wanted children of a node: each block by itself, runs of text and inline elements together; texts become nodes."""
+    out: list[list[_Node]] = [[]]
+    for k, c in enumerate(node.children):
+        if isinstance(c, str):
+            text, c = c, _Node("", node, False)
+            c.children, c.chars = [text], len("".join(text.split()))
+            node.children[k] = c
+        if c.name in _BLOCK or id(c) in broken:
+            out += [[], []] if c.out else [[c], []]
+        elif not c.out:
+            out[-1].append(c)
+    return [u for u in out if u]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:

@@ -61,6 +61,19 @@ def test_main_text_without_article_element():
     assert text.count("Paragraph number") == 6 and "Link number" not in text
 
 
+def test_main_text_of_an_article_in_several_divs():
+    """Headline, short sections and loose text beside the core stay, links beside it go."""
+    head, one, two = "A headline of forty characters or about", ["first part " * 20] * 5, ["second part " * 13] * 2
+    links = "".join(f'<li><a href="/{k}">Link number {k}</a></li>' for k in range(20))
+    parts = [head, *one, "Loose text with a link in the middle of it.", *two, "Lone end."]
+    divs = ["".join(f"<p>{p}</p>" for p in part) for part in (one, two)]
+    text = htmltext.main_text(
+        f"<html><body><div><h3>Menu</h3><ul>{links}</ul></div><div><h1>{head}</h1><div>{divs[0]}</div>Loose text with a <a href='/'>link</a> in the middle of it."
+        f"<div>{divs[1]}<ul>{links}{links}</ul></div><p>Lone end.</p></div><p><a href='/'>Next page</a></p></body></html>"
+    )
+    assert text.split("\n") == [" ".join(p.split()) for p in parts]
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<a", "&amp", "<p", "<!--", "<script>x", "<div><div>", "</p>", "<p a=\"x>y", "plain text"])
 def test_main_text_of_fragments(page):
     got = htmltext.main_text(page)
