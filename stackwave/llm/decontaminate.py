@@ -7,7 +7,8 @@ hit names an item and a diagonal; along it, document and item are compared term
 equal term and -2 for another, is the overlap.  A document is contaminated by an item when the overlap has ``OVERLAP`` equal terms or
 0.8 of the item's, if that is fewer.
 
-Items of fewer than ``LEAST`` terms can't be told from chance and aren't searched; items shorter than a mask are looked up as a whole.
+The masks hit every run that is accepted: ``MASKS`` in items of nine terms or more, with those of ``SHORT`` in items of five to eight.
+Items of fewer than ``LEAST`` terms can't be told from chance and aren't searched.  Items without an id are searched, and come last.
 The benchmark is taken in blocks of at most ``BLOCK_BYTES`` of text; every document passes all blocks in the same task, so a
 benchmark of any size needs no shuffle of the documents.  Null and empty texts and tables have no overlaps.  Repeated rows
 get equal results.  Further columns of ``docs`` are kept by ``clean_only`` and not read by ``overlaps``.
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, row_slices, string_buffers
 
-MASKS = ("110101011", "1110010011", "1101100111")
+MASKS = ("110101011", "1110010011", "1101100111", "11101100001", "11011101", "1110001101", "11110101", "1011001011")
+SHORT = {5: ("1111",), 6: ("11111", "110111"), 7: ("111111", "1110111", "1101111"), 8: ("1110111",)}
 OVERLAP, LEAST, BLOCK_BYTES = 12, 5, 16 << 20
 _MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
@@ -46,18 +48,20 @@ def masked_hashes(words: Words, mask: str) -> tuple[np.ndarray, np.ndarray]:
 class Benchmark:
     """The searchable items of one block: terms, and for each mask a table of hashes with the places they come from."""
 
-    def __init__(self, ids: np.ndarray, texts: pa.Array):
+    def __init__(self, ids: list[int | None], texts: pa.Array):
         raw, offs = string_buffers(lowered(texts))
         words = Words(raw, offs, SEPARATORS)
         self.ids, self.terms, self.first = ids, words.hash, words.first
         counts = words.counts
         self.needed = np.minimum(OVERLAP, np.ceil(0.8 * counts).astype(int))
         self.tables = []
-        shortest = min(map(len, MASKS))
-        masks = [*MASKS, *("1" * k for k in range(LEAST, shortest) if (counts == k).any())]
-        for mask in masks:
+        lengths: dict[str, list[int]] = {}
+        for length, masks in SHORT.items():
+            for mask in masks if (counts == length).any() else ():
+                lengths.setdefault(mask, []).append(length)
+        for mask in (*MASKS, *lengths):
             at, hashes = masked_hashes(words, mask)
-            keep = counts[words.row[at]] == len(mask) if len(mask) < shortest else counts[words.row[at]] >= LEAST
+            keep = np.isin(counts[words.row[at]], lengths[mask]) if mask in lengths else counts[words.row[at]] >= LEAST
             at, hashes = at[keep], hashes[keep]
             order = np.argsort(hashes, kind="stable")
             at, hashes = at[order], hashes[order]
@@ -65,7 +69,7 @@ class Benchmark:
             ends = np.searchsorted(hashes, table.sorted, "right")[np.argsort(np.argsort(table.order))] if len(hashes) else at
             self.tables.append((mask, table, at, dict(zip(table.order.tolist(), ends.tolist(), strict=True)), words.row[at]))
 
-    def overlaps(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, int, int]]]]:
+    def overlaps(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int | None, int, int, int]]]]:
         """(row, [(item id, first term, end term, equal terms)]) of rows with an overlap."""
         raw, offs = string_buffers(lowered(texts))
         for lo, hi in row_slices(offs):
@@ -78,13 +82,13 @@ class Benchmark:
                     for k in range(a, ends[a]):
                         item = int(items[k])
                         hits.append((int(words.row[p]), item, p - int(places[k]) + int(self.first[item])))
-            out: dict[int, dict[int, tuple[int, int, int, int]]] = {}
+            out: dict[int, dict[int, tuple[int | None, int, int, int]]] = {}
             for row, item, start in sorted(set(hits)):
                 run = self._run(words, row, item, start)
                 if run[2] >= self.needed[item]:
                     best = out.setdefault(row, {})
                     if item not in best or best[item][3] < run[2]:
-                        best[item] = (int(self.ids[item]), *run)
+                        best[item] = (self.ids[item], *run)
             for row in sorted(out):
                 yield lo + row, [out[row][i] for i in sorted(out[row])]
 
@@ -102,13 +106,13 @@ class Benchmark:
 
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> list[Benchmark]:
     """The benchmark in blocks of bounded size; one block unless the table is large."""
-    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("id is not null and text is not null")
+    items = benchmark.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n, out = -(-size // BLOCK_BYTES), []
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).toArrow().sort_by([("id", "ascending"), ("text", "ascending")]).combine_chunks()
         if part.num_rows:
-            out.append(Benchmark(part["id"].to_numpy(), part["text"]))
+            out.append(Benchmark(part["id"].to_pylist(), part["text"]))
     return out
 
 
@@ -126,9 +130,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for block in found:
                 for row, hits in block.overlaps(b.column(1)):
                     spans[row] += hits
-            spans = [sorted(s) for s in spans]
+            spans = [sorted(s, key=lambda h: (h[0] is None, h[0] or 0, h[1:])) for s in spans]
             rows = [[dict(zip(("item_id", "first", "end", "equal"), h, strict=True)) for h in s] for s in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(s) for s in spans], pa.bool_()), pa.array([sorted({h[0] for h in s}) for s in spans], pa.list_(pa.int64())), pa.array(rows, _ARROW)], names=["doc_id", "contaminated", "item_ids", "spans"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(s) for s in spans], pa.bool_()), pa.array([list(dict.fromkeys(h[0] for h in s)) for s in spans], pa.list_(pa.int64())), pa.array(rows, _ARROW)], names=["doc_id", "contaminated", "item_ids", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, contaminated boolean, item_ids array<long>, spans {_HITS}")
 

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -119,6 +121,37 @@ def test_overlaps_with_substitutions(spark):
     assert decontaminate.overlaps(frame(spark, []), items(spark, bench)).count() == 0
 
 
+def test_masks_hit_every_accepted_run():
+    """All substitutions in items of 5 to 14 terms that the run rule accepts; of longer items, all ways to the twelfth equal term of a run."""
+    for n in range(5, 15):
+        item, wanted, texts, need = [f"t{k}" for k in range(n)], [], [], min(12, math.ceil(0.8 * n))
+        for equal in itertools.product((True, False), repeat=n):
+            runs = [(sum(1 if e else -2 for e in equal[a:b]), -b, -a, sum(equal[a:b])) for a in range(n) for b in range(a + 1, n + 1)] if sum(equal) >= need else [(0, 0, 0, 0)]
+            best = max(r[0] for r in runs)
+            stop = max(r[1] for r in runs if r[0] == best)
+            if max(r for r in runs if r[:2] == (best, stop))[3] >= need:
+                wanted.append(len(texts))
+            texts.append("before " + " ".join(t if e else "x" for t, e in zip(item, equal, strict=True)) + " after")
+        found = [row for row, _ in decontaminate.Benchmark([1], pa.array([" ".join(item)])).overlaps(pa.array(texts))]
+        assert found == wanted
+    todo = [("", 0)]
+    while todo:
+        run, gain = todo.pop()
+        if run.count("1") < 12:
+            todo += [(run + "1", gain + 1)] + [(run + "0", gain - 2)] * (gain >= 2)
+        else:
+            assert any(all(r == "1" for r, m in zip(run[k:], mask) if m == "1") for mask in decontaminate.MASKS for k in range(len(run) - len(mask) + 1)), run  # noqa: B905
+
+
+def test_benchmark_items_without_an_id(spark):
+    bench = spark.createDataFrame([(None, "one two three four five six"), (3, "one two three four five six")], "item_id long, text string")
+    docs = frame(spark, [row(0, "so one two three four five six"), row(1, "one two")])
+    got = {r["doc_id"]: r for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got[0]["item_ids"] == [3, None] and len(got[0]["spans"]) == 2 and not got[1]["contaminated"]
+    only = bench.filter("item_id is null")
+    assert decontaminate.overlaps(docs, only).filter("contaminated").count() == 1 and decontaminate.clean_only(docs, only).count() == 1
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     chance = random.Random(6)
     bench = [sentence(chance, [f"w{k}" for k in range(500)], 20) for _ in range(12)]
