@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,66 @@ def test_cut_off_pages_keep_what_is_there():
     assert htmltext.main_text(PAGE[: PAGE.index("Second") + 3]) == "Title & more\nFirst paragraph with a link.\nSec"
 
 
+PROSE = "".join(f"<p>Paragraph number {k} has a good many words in it, as the articles of a site do, and then a few more.</p>" for k in range(6))
+MENU = "<nav><ul>" + "".join(f'<li><a href="/{k}">Item {k}</a></li>' for k in range(8)) + "</ul></nav>"
+LIST = "<ul>" + "".join(f'<li><a href="/{k}">Link number {k}</a></li>' for k in range(30)) + "</ul>"
+LONG = "The price of a share rose by a good deal in the last quarter, as the figures of the company show."
+
+
+@pytest.mark.parametrize(
+    ("page", "first", "last", "blocks"),
+    [
+        (f"<form>{MENU}<div><h1>Title</h1>{PROSE}</div></form>", "Title", "Paragraph", 7),
+        (f'{MENU}<div><div class="article-header"><h1>Title</h1></div><div>{PROSE}</div></div>', "Title", "Paragraph", 7),
+        (f"{MENU}<div><header><h1>Title</h1></header><div>{PROSE}</div></div>", "Title", "Paragraph", 7),
+        (f"{MENU}<header><h1><a href='/'>Site</a></h1></header><div>{PROSE}</div>", "Paragraph", "Paragraph", 6),
+        (f"{MENU}<main><div>{PROSE}</div>{LIST}</main>", "Paragraph", "Paragraph", 6),
+        (f"{MENU}<main>{PROSE}{LIST}</main>", "Paragraph", "Paragraph", 6),
+        (f'{MENU}<article>{PROSE}<section id="share-price"><h2>Share price</h2><p>{LONG}</p></section><div class="share">Share on <a>A</a></div></article>', "Paragraph", "The price", 8),
+        (f'<article>{PROSE}<div id="related-work"><p>{LONG}</p></div><div class="related">{LIST}</div></article>', "Paragraph", "The price", 7),
+        (f"<article>{PROSE}<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "Paragraph", "Where x=2 holds.", 7),
+        (f'<div>{PROSE}</div><div class="ad">{LONG}</div><div id="cookie-notice">{LONG * 3}</div><div class="comments"><p>{LONG * 2}</p><p>{LONG}</p></div><footer>{LONG}</footer>', "Paragraph", "Paragraph", 6),
+        (f'<div class="sidebar-right page">{PROSE}</div>{MENU}', "Paragraph", "Paragraph", 6),
+    ],
+)
+def test_density_decides_on_suspects(page, first, last, blocks):
+    got = htmltext.main_text(f"<html><body>{page}</body></html>").split("\n")
+    assert got[0].startswith(first) and got[-1].startswith(last) and len(got) == blocks
+
+
+@pytest.mark.parametrize("page", ["<b>" * 40_000 + "</i>" * 40_000, "<b>" * 40_000 + "<p></p>" * 40_000, "<b>" * 40_000 + "<li></li>" * 40_000, "<div>x" * 40_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    htmltext.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_densities_against_brute_force():
+    """Counts of every node from its own subtree, one by one, in pages without suspects."""
+    page = f"<body><div>{LIST}</div><div><h1>A title</h1><div>{PROSE}<p>With <a href=x>a link</a> and <b>bold <i>text</i></b>.</p></div>{PROSE}</div></body>"
+    nodes = htmltext._in_order(htmltext.parse(page))
+    htmltext._measure(nodes)
+
+    def below(node):
+        return [x for c in node.children if not isinstance(c, str) for x in (c, *below(c))]
+
+    def chars(node):
+        return sum(len("".join(c.split())) if isinstance(c, str) else chars(c) for c in node.children)
+
+    body = next(n for n in nodes if n.name == "body")
+    share = sum(chars(x) for x in below(body) if x.name == "a") / chars(body)
+    dense = {}
+    for node in nodes:
+        c, t, links = chars(node), len(below(node)), [x for x in (node, *below(node)) if x.name == "a"]
+        lc, lt = sum(map(chars, links)), len(links)
+        base = math.log(c / max(c - lc, 1) * lc + share * c + math.e**math.e)
+        dense[id(node)] = c / max(t, 1) * math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)) / math.log(base) if c / max(lc, 1) * max(t, 1) / max(lt, 1) > 1 else 0.0
+        assert math.isclose(node.density, dense[id(node)], abs_tol=1e-9)
+    sums = {id(n): sum(dense[id(c)] for c in n.children if not isinstance(c, str)) for n in nodes}
+    assert all(math.isclose(n.sum, sums[id(n)], abs_tol=1e-9) for n in nodes)
+    assert htmltext._Choice(nodes).core is max(nodes, key=lambda n: sums[id(n)])
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, "u", "", "y"), (None, "u", "<p>" + "long " * 50_000, "z")], "page_id long, url string, html string, text string")
     got = htmltext.extract(pages).collect()
