@@ -5,7 +5,8 @@ classifier on hashed byte 2- and 3-grams predicts it.  Decoding takes the codewo
 each bit weighted by how well its classifier does on the training rows; close runners-up flag the row as ambiguous.
 
 The features are square roots of relative n-gram frequencies of the whole text, ASCII lower-cased, with digits, white
-space and ASCII punctuation all read as one space.  Training takes at most about ``CAP`` rows of each language.
+space and ASCII punctuation all read as one space.  Training takes at most about ``CAP`` rows of each language
+and ``TOTAL`` of all; their features are made on the executors.
 
 A null text or one without letters is ``und`` with score 0, as is every text when nothing is labelled.  With one language
 only, that is predicted.  Ties go to the language first by code point.  Repeated rows get equal results; an empty table
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .samples import bounded, crc_mod
 from .textkit import row_slices, string_buffers
 
-#: Training rows of each language.
-CAP = 512
+#: Training rows of each language, and of all languages together.
+CAP, TOTAL = 512, 4096
 DIMENSIONS_LOG2 = 12
 STEPS = 120
 #: Less than this between the two best posteriors is ambiguous; so is a best posterior under SURE.
@@ -96,13 +97,22 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, cap: int = CAP) -> LanguageModel:
     """Learns from rows (doc_id, text, lang) with a non-null lang; see the bound in the module's text."""
-    sample, _ = bounded(labelled.filter("lang is not null and doc_id is not null").select("doc_id", "lang", "text"), "lang", cap)
-    table = sample.toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    rows = labelled.filter("lang is not null and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    many = rows.select("lang").distinct().count()
+    sample, _ = bounded(rows, "lang", max(1, min(cap, TOTAL // max(1, many))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi, x, _ in features(b.column(2)):
+                part = b.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+
+    table = sample.mapInArrow(run, "doc_id long, lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")]).combine_chunks()
     names = np.array(table["lang"].to_pylist(), object)
     langs = sorted(set(names))
     if not langs:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((_D, 0)), np.zeros(_D), np.zeros(0), np.zeros(0))
-    x = np.concatenate([m for _, _, m, _ in features(table["text"])])
+    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, _D).copy()
     codes = codewords(len(langs))
     y = codes[np.searchsorted(np.array(langs, object), names)]
     mean = x.mean(0)

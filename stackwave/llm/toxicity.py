@@ -1,16 +1,20 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, searched through a block-max inverted index.
 
-Terms are lower-cased runs of letters and digits, and their stems (the first 4 to 8 bytes of longer ones).  From a bounded sample of labelled rows the terms that go with label 1
-become the lexicon; document frequencies of its terms are counted over all documents.  The labelled examples are indexed by
-those terms in id-aligned blocks; each term keeps the largest weight of every block.  A document's bound for a block is the
-sum of its weights times those maxima.  Blocks are opened by falling bound until the bound is under the k-th best cosine,
-so the neighbours are exactly the k nearest (ties to the smaller example number).
+Terms are lower-cased runs of letters and digits: every word of the labelled examples, a bounded sample of labelled rows, is in
+the vocabulary.  Words and stems (the first 4 to 8 bytes of longer words) that go with one of the labels, under false-discovery
+control, are marked terms: marked stems join the vocabulary, and the TF-IDF weight of a marked term counts ``RELEVANCE`` times, so that of
+two texts on one subject the tone decides.  Document frequencies are counted over all documents.  A text's vector holds its terms of the vocabulary.
 
-Votes weigh 1 / (distance + 0.05) with label 1 counting by its sampling rate; leave-one-out votes of the examples calibrate the
-score isotonically.  A document without a lexicon term has no neighbours; its score is the calibrated rate of such examples.
+The examples are indexed by their terms in id-aligned blocks; each term keeps the largest weight of every block that has it.  A document's
+bound for a block is the sum of its weights times those maxima.  Blocks are opened by falling bound, in groups of rising size, until
+the bound is under the k-th best cosine, so the neighbours are exactly the k nearest (ties to the smaller example number).
 
-Null and empty texts are scored like texts without lexicon terms.  Without labels of both kinds every score is the rate
-of label 1 (0 without labels).  Several labels of one document: the highest counts.  Repeated rows get equal results.
+Votes weigh 1 / (distance + 0.05) with label 1 counting by its sampling rate; votes of the examples without themselves and their near copies
+calibrate the score isotonically.  A text that shares no term with any example has no neighbours; its score is the rate of label 1.
+
+Features, frequencies and the examples' votes are made on the executors; the driver gets the examples' term numbers and a row for each term.
+Null and empty texts have no terms.  Without labels of both kinds every score is the rate of label 1 (0 without labels).  Several labels of one
+document: the highest counts.  Repeated rows get equal results.
 """
 
 from __future__ import annotations
@@ -21,78 +25,128 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .samples import bounded, crc_mod
+from .samples import labelled_texts
+from .shared import materialize
 from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, row_slices, string_buffers
 
-#: Labelled rows of each label that are sampled; examples in the lexicon; neighbours.
-CAP, LEXICON, NEIGHBOURS, BLOCK = 2500, 1000, 15, 64
+#: Labelled rows of each label that are sampled; neighbours; examples of a block; blocks that are opened first.
+CAP, NEIGHBOURS, BLOCK, FIRST = 2500, 15, 64, 8
 #: Lengths of stems in bytes.
 STEMS = (4, 5, 6, 7, 8)
-#: A lexicon term is in so many examples and has a log odds ratio of so much, at least; RATE is the share of lexicon terms that may be there by chance.
-LEAST_DF, LEAST_LOG_ODDS, RATE = 4, 1.5, 0.005
+#: A marked term is in so many examples and has a log odds ratio of so much either way, at least; RATE is the share of marked terms that may be there by chance.
+LEAST_DF, LEAST_LOG_ODDS, RATE, RELEVANCE = 4, 1.5, 0.005, 4.0
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts by the keys, and the places in it where a new combination starts."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order[1:]] != k[order[:-1]]
+    return order, np.flatnonzero(new)
+
+
+def _ragged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of all ranges."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
-def _row_terms(column: pa.Array, table: HashTable | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, distinct terms, their counts): hashes, or numbers in ``table`` (rows without any are left out)."""
+def _all_terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, rows, hashes of words, which are stems) for slices of a column; the terms of a row are distinct."""
     raw, offs = string_buffers(lowered(column))
     for lo, hi in row_slices(offs):
         words = Words(raw, offs[lo : hi + 1], SEPARATORS)
-        parts = [(words.row, words.hash), *((words.row[at], h) for at, h in map(words.prefixes, STEMS))]
-        if table is None:
-            rows, terms = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.argsort(rows, kind="stable")
-            terms, at = terms[order], np.searchsorted(rows[order], np.arange(hi - lo + 1))
-            for r in range(hi - lo):
-                yield lo + r, *np.unique(terms[at[r] : at[r + 1]], return_counts=True)
-        else:
-            found = [(rows[at], term) for rows, h in parts for at, term in [table.find(h)]]
-            rows, terms = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.argsort(rows, kind="stable")
-            rows, terms = rows[order], terms[order]
-            cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1], [True]])) if len(rows) else np.zeros(0, int)
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                yield lo + int(rows[a]), *np.unique(terms[a:b], return_counts=True)
+        parts = [(words.row, words.hash, 0), *((words.row[at], h, 1) for at, h in map(words.prefixes, STEMS))]
+        rows, terms = (np.concatenate([x[k] for x in parts]) for k in (0, 1))
+        stem = np.repeat([x[2] for x in parts], [len(x[0]) for x in parts])
+        order, cut = _runs(rows, stem, terms)
+        yield lo, hi, rows[order][cut], terms[order][cut], stem[order][cut]
+
+
+class Vocabulary:
+    """Numbers of terms: words first, then stems."""
+
+    def __init__(self, words: np.ndarray, stems: np.ndarray):
+        self.words, self.stems = HashTable(words), HashTable(stems)
+        self.n_words, self.size = len(words), len(words) + len(stems)
+
+    def rows(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(row, distinct term numbers, their counts) of rows with a term of the vocabulary."""
+        raw, offs = string_buffers(lowered(column))
+        for lo, hi in row_slices(offs):
+            words = Words(raw, offs[lo : hi + 1], SEPARATORS)
+            at, term = self.words.find(words.hash)
+            rows, terms = [words.row[at]], [term]
+            for size in STEMS if len(self.stems.sorted) else ():
+                of, h = words.prefixes(size)
+                at, term = self.stems.find(h)
+                rows.append(words.row[of[at]])
+                terms.append(term + self.n_words)
+            row, term = np.concatenate(rows), np.concatenate(terms)
+            order, cut = _runs(row, term)
+            row, term, count = row[order][cut], term[order][cut], np.diff(np.append(cut, len(order)))
+            first = np.searchsorted(row, np.arange(hi - lo + 1))
+            for r in np.unique(row).tolist():
+                a, e = first[r], first[r + 1]
+                yield lo + r, term[a:e], count[a:e]
 
 
 @dataclass
 class ToxicityModel:
-    lexicon: np.ndarray
-    idf: np.ndarray
+    words: np.ndarray
+    stems: np.ndarray
+    weights: np.ndarray  # idf times relevance, by term
     ids: np.ndarray
     labels: np.ndarray
+    groups: np.ndarray
     weight_of_one: float
-    pointers: np.ndarray
-    postings: np.ndarray
-    values: np.ndarray
+    rate: float
+    entries: np.ndarray  # first entry of each term; an entry is a term in a block
+    blocks: np.ndarray
     maxima: np.ndarray
+    starts: np.ndarray  # first posting of each entry
+    examples: np.ndarray
+    values: np.ndarray
     steps: np.ndarray
     rates: np.ndarray
-    no_evidence: float
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[terms]
+        w = (1 + np.log(counts)) * self.weights[terms]
         return w / np.sqrt((w * w).sum())
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and cosines of the nearest examples that share a term."""
-        bound = weights @ self.maxima[terms]
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and cosines of the nearest examples that share a term, without those of one group of near copies."""
+        lo, hi = self.entries[terms], self.entries[terms + 1]
+        entry, weight = _ragged(lo, hi), np.repeat(weights, hi - lo)
+        block = self.blocks[entry]
+        bound = np.bincount(block, weight * self.maxima[entry])
         order = np.argsort(-bound, kind="stable")
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(score) >= NEIGHBOURS and bound[b] * (1 + 1e-9) < score[NEIGHBOURS - 1]:
-                break
-            s = np.zeros(BLOCK)
-            for t, w in zip(terms, weights, strict=True):
-                a, e = self.pointers[t, b], self.pointers[t, b + 1]
-                s[self.postings[a:e] - b * BLOCK] += w * self.values[a:e]
-            new = np.flatnonzero(s > 0)
-            new = new[new + b * BLOCK != skip]
-            best, score = np.concatenate([best, new + b * BLOCK]), np.concatenate([score, s[new]])
+        order = order[bound[order] > 0]
+        best, score, done, size = np.zeros(0, np.int64), np.zeros(0), 0, FIRST
+        while done < len(order):
+            now = order[done : done + size]
+            if len(score) >= NEIGHBOURS:
+                now = now[bound[now] * (1 + 1e-9) >= score[-1]]
+                if not len(now):
+                    break
+            mask = np.zeros(len(bound), bool)
+            mask[now] = True
+            take = mask[block]
+            a, e = self.starts[entry[take]], self.starts[entry[take] + 1]
+            posting = _ragged(a, e)
+            s = np.bincount(self.examples[posting], np.repeat(weight[take], e - a) * self.values[posting])
+            new = np.flatnonzero(s)
+            if without is not None:
+                new = new[self.groups[new] != without]
+            best, score = np.concatenate([best, new]), np.concatenate([score, s[new]])
             top = np.lexsort((best, -score))[:NEIGHBOURS]
             best, score = best[top], score[top]
+            done, size = done + len(now), size * 2
         return best, np.minimum(score, 1.0)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -122,84 +176,139 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def _document_frequencies(docs: DataFrame, lexicon: np.ndarray) -> tuple[np.ndarray, int]:
+def _sampled(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int]) -> tuple[DataFrame, dict]:
+    """(doc_id, text, label, part) of the labelled rows that are learned from, and the labels' counts; ``part`` names the near copies."""
+    rows, totals = labelled_texts(docs, labels, label, fold, CAP, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.full(b.num_rows, -1, np.int64)
+            raw, offs = string_buffers(lowered(b.column(1)))
+            for lo, hi in row_slices(offs):
+                words = Words(raw, offs[lo : hi + 1], SEPARATORS)
+                some = np.flatnonzero(words.counts)
+                if len(some):
+                    part[lo + some] = (np.minimum.reduceat(mix64(words.hash ^ np.uint64(0xA5A5A5A5A5A5A5A5)), words.first[some]) >> np.uint64(1)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], names=["doc_id", "text", "label", "part"])
+
+    return materialize(rows.mapInArrow(run, "doc_id long, text string, label int, part long"), "examples"), totals
+
+
+def _term_counts(examples: DataFrame) -> pa.Table:
+    """(term, stem, n, ones) of every term of the examples: how many groups of near copies have it, by one example each, and how many of label 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            once, y = b.column(2).to_numpy().astype(np.int64), b.column(1).to_numpy()
+            for lo, _, rows, terms, stem in _all_terms(b.column(0)):
+                order, cut = _runs(stem, terms)
+                row = lo + rows[order]
+                n, ones = (np.add.reduceat(x[row], cut) if len(cut) else cut for x in (once, once * y))
+                yield pa.RecordBatch.from_arrays([pa.array(terms[order][cut].view(np.int64)), pa.array(stem[order][cut], pa.int32()), pa.array(n, pa.int64()), pa.array(ones, pa.int64())], names=["term", "stem", "n", "ones"])
+
+    first = F.row_number().over(Window.partitionBy("part", "label").orderBy("doc_id")) == 1  # of the bounded sample
+    found = examples.select("text", "label", first.cast("int").alias("once")).mapInArrow(run, "term long, stem int, n long, ones long").groupBy("term", "stem").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    return found.filter(f"stem = 0 or n >= {LEAST_DF}").toArrow()
+
+
+def _marked(n: np.ndarray, ones: np.ndarray, n_all: int, n_ones: int) -> np.ndarray:
+    """Which terms go with a label: log odds ratio and, at a false-discovery rate, the likelihood ratio of their share of label 1."""
+    p, q = n_ones - ones, n_all - n_ones - (n - ones)
+    odds = np.log((ones + 0.5) * (q + 0.5) / ((n - ones + 0.5) * (p + 0.5)))
+    share = n_ones / n_all
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = 2 * (np.nan_to_num(ones * np.log(ones / (n * share))) + np.nan_to_num((n - ones) * np.log((n - ones) / (n * (1 - share)))))
+    usual = n >= LEAST_DF
+    likely = np.flatnonzero(usual & (np.abs(odds) >= LEAST_LOG_ODDS) & (gain > 0))
+    chance = np.array([math.erfc(math.sqrt(x / 2)) / 2 for x in gain[likely]])
+    order = np.argsort(chance, kind="stable")
+    passed = np.flatnonzero(chance[order] <= RATE * np.arange(1, len(order) + 1) / max(1, int(usual.sum())))
+    out = np.zeros(len(n), bool)
+    out[likely[order[: passed[-1] + 1]] if len(passed) else likely[:0]] = True
+    return out
+
+
+def _document_frequencies(docs: DataFrame, words: np.ndarray, stems: np.ndarray) -> tuple[np.ndarray, int]:
     """Document frequencies over all documents, and their number; every task sends one row a term it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, df = HashTable(lexicon), np.zeros(len(lexicon) + 1, np.int64)
+        terms = Vocabulary(words, stems)
+        df = np.zeros(terms.size + 1, np.int64)
         for b in batches:
             df[-1] += b.num_rows
-            for _, terms, _ in _row_terms(b.column(0), table):
-                df[terms] += 1
+            for _, term, _ in terms.rows(b.column(0)):
+                df[term] += 1
         seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(df[seen], pa.int64())], names=["term", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(df[seen], pa.int64())], names=["term", "df"])
 
-    out = np.zeros(len(lexicon) + 1, np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df")).collect():
-        out[r[0]] = r[1]
+    out = np.zeros(len(words) + len(stems) + 1, np.int64)
+    found = docs.select(F.col("text").cast("string")).mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    out[found["term"].to_numpy()] = found["df"].to_numpy()
     return out[:-1], int(out[-1])
 
 
+def _numbered(examples: DataFrame, words: np.ndarray, stems: np.ndarray) -> DataFrame:
+    """(doc_id, label, part, terms, counts) of the examples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(words, stems)
+        for b in batches:
+            terms, counts = [[]] * b.num_rows, [[]] * b.num_rows
+            for r, t, c in vocabulary.rows(b.column(1)):
+                terms[r], counts[r] = t, c
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(terms, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["doc_id", "label", "part", "terms", "counts"])
+
+    return materialize(examples.mapInArrow(run, "doc_id long, label int, part long, terms array<int>, counts array<int>"), "vectors")
+
+
+def _votes(vectors: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
+    """Votes and labels of the examples that have neighbours besides their near copies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = []
+            for part, terms, counts in zip(b.column(1).to_numpy(), b.column(2), b.column(3), strict=True):
+                t = terms.values.to_numpy()
+                near = model.nearest(t, model.vector(t, counts.values.to_numpy()), part) if len(t) else ((), ())
+                votes.append(model.vote(*near) if len(near[0]) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(votes, pa.float64())], names=["label", "vote"])
+
+    found = vectors.select("label", "part", "terms", "counts").repartition(vectors.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, "label int, vote double").filter("vote is not null").toArrow()
+    return found["vote"].to_numpy(), found["label"].to_numpy()
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2)) -> ToxicityModel:
     """Learns from a bounded sample of ``labels`` (doc_id, label) outside the fold, and frequencies of all ``docs``."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter((crc_mod("doc_id", fold[0]) != fold[1]) & F.col("label").isin(0, 1))
-    sample, totals = bounded(known, "label", CAP)
-    chosen = sample.groupBy("doc_id").agg(F.max("label").alias("label"))
-    table = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id").toArrow()  # at most 4 * CAP rows
-    table = table.sort_by([("doc_id", "ascending")]).combine_chunks()
-    y, ids = table["label"].to_numpy().astype(int), table["doc_id"].to_numpy()
+    examples, totals = _sampled(docs, labels, label, fold)
     rate = totals.get(1, 0) / max(1, sum(totals.values()))
-    weight = (totals.get(1, 0) / max(1, (y == 1).sum())) / max(1e-9, totals.get(0, 0) / max(1, (y == 0).sum())) if totals.get(0) else 1.0
-    rows = [(t, c) for _, t, c in _row_terms(table["text"])] if len(y) else []
-    if rows and 0 < y.sum() < len(y):
-        terms, back = np.unique(np.concatenate([t for t, _ in rows]), return_inverse=True)
-        toxic = np.repeat(y, [len(t) for t, _ in rows])
-        # near copies share their least hash; a term's frequencies count each such group once
-        group = np.array([int(mix64(t ^ np.uint64(0xA5A5A5A5A5A5A5A5)).min() >> np.uint64(1)) if len(t) else -1 for t, _ in rows])
-        group = np.unique(group * 2 + y, return_inverse=True)[1]
-        once = np.unique(back.astype(np.int64) * (group.max() + 1) + np.repeat(group, [len(t) for t, _ in rows]), return_index=True)[1]
-        a, n = np.bincount(back[once], toxic[once], len(terms)), np.bincount(back[once], minlength=len(terms))
-        n_toxic, n_all = len(np.unique(group[y == 1])), len(np.unique(group))
-        p, q = n_toxic - a, n_all - n_toxic - (n - a)
-        odds = np.log((a + 0.5) * (q + 0.5) / ((n - a + 0.5) * (p + 0.5)))
-        share = n_toxic / n_all
-        with np.errstate(divide="ignore", invalid="ignore"):  # the likelihood ratio of a term's share of label 1 against the share of all
-            gain = 2 * (np.nan_to_num(a * np.log(a / (n * share))) + np.nan_to_num((n - a) * np.log((n - a) / (n * (1 - share)))))
-        # false discoveries are held to RATE among the terms that are frequent enough to show anything
-        usual = np.flatnonzero(n >= LEAST_DF)
-        likely = usual[(odds[usual] >= LEAST_LOG_ODDS) & (gain[usual] > 0)]
-        chance = np.array([math.erfc(math.sqrt(x / 2)) / 2 for x in gain[likely]])
-        order = np.argsort(chance, kind="stable")
-        passed = np.flatnonzero(chance[order] <= RATE * np.arange(1, len(order) + 1) / max(1, len(usual)))
-        good = likely[order[: passed[-1] + 1]] if len(passed) else likely[:0]
-        lexicon = terms[np.sort(good[:LEXICON])]
-    else:
-        lexicon = np.zeros(0, np.uint64)
-    df, n_docs = _document_frequencies(docs, lexicon) if len(lexicon) else (np.zeros(0), 0)
-    blocks = max(1, -(-len(y) // BLOCK))
-    model = ToxicityModel(lexicon, np.log((n_docs + 1) / (df + 1)) + 1, ids, y, weight, np.zeros((len(lexicon), blocks + 1), np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(lexicon), blocks)), np.zeros(1), np.array([rate]), rate)
-    if not len(lexicon):
-        return model
-    vectors = {r: (t, model.vector(t, c)) for r, t, c in _row_terms(table["text"], HashTable(lexicon))}
-    term = np.concatenate([t for t, _ in vectors.values()])
-    example = np.repeat(np.array(list(vectors), np.int64), [len(t) for t, _ in vectors.values()])
-    value = np.concatenate([w for _, w in vectors.values()])
-    order = np.lexsort((example, term))
-    term, model.postings, model.values = term[order], example[order], value[order]
-    model.pointers = np.searchsorted(term * (blocks + 1) + model.postings // BLOCK, np.arange(len(lexicon))[:, None] * (blocks + 1) + np.arange(blocks + 1))
-    np.maximum.at(model.maxima, (term, model.postings // BLOCK), model.values)
-    votes, truth, rest = [], [], []
-    for r in range(len(y)):
-        near = model.nearest(*vectors[r], skip=r) if r in vectors else ((), ())
-        if len(near[0]):
-            votes.append(model.vote(*near))
-            truth.append(y[r])
-        else:
-            rest.append(y[r])
-    w = np.where(np.array(truth) == 1, weight, 1.0)
-    model.steps, model.rates = _isotonic(np.array(votes), np.array(truth, float), w) if votes else (np.zeros(1), np.array([rate]))
-    ones = weight * sum(rest)
-    model.no_evidence = float(ones / max(1e-9, ones + len(rest) - sum(rest))) if rest else rate
+    groups = {r[0]: r[1:] for r in examples.groupBy("label").agg(F.countDistinct("part"), F.count("*")).collect()}
+    none = np.zeros(0, np.int64)
+    if len(groups) < 2:
+        return ToxicityModel(none.view(np.uint64), none.view(np.uint64), np.zeros(0), none, none, none, 1.0, rate, none, none, np.zeros(0), none, none, np.zeros(0), np.zeros(1), np.array([rate]))
+    found = _term_counts(examples).sort_by([("stem", "ascending"), ("term", "ascending")])
+    term, stem = found["term"].to_numpy().view(np.uint64), found["stem"].to_numpy() == 1
+    marked = _marked(found["n"].to_numpy(), found["ones"].to_numpy(), groups[0][0] + groups[1][0], groups[1][0])
+    words, stems = term[~stem], term[stem & marked]
+    relevance = np.concatenate([np.where(marked[~stem], RELEVANCE, 1.0), np.full(len(stems), RELEVANCE)])
+    df, n_docs = _document_frequencies(docs, words, stems)
+    weight_of_one = (totals[1] / groups[1][1]) / (totals[0] / groups[0][1])
+
+    vectors = _numbered(examples, words, stems)
+    table = vectors.toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")]).combine_chunks()
+    model = ToxicityModel(words, stems, (np.log((n_docs + 1) / (df + 1)) + 1) * relevance, table["doc_id"].to_numpy(), table["label"].to_numpy(), table["part"].to_numpy(), weight_of_one, rate, none, none, np.zeros(0), none, none, np.zeros(0), np.zeros(1), np.array([rate]))
+    size = table["terms"].combine_chunks().value_lengths().to_numpy()
+    example, term = np.repeat(np.arange(len(size), dtype=np.int32), size), table["terms"].combine_chunks().flatten().to_numpy()
+    value = (1 + np.log(table["counts"].combine_chunks().flatten().to_numpy())) * model.weights[term]
+    norm = np.sqrt(np.bincount(example, value * value, len(size)))
+    order, cut = _runs(term, example // BLOCK)
+    model.examples, model.values = example[order], (value / norm[example])[order].astype(np.float32)
+    model.starts = np.append(cut, len(order)).astype(np.int32)
+    model.blocks = (model.examples[cut] // BLOCK).astype(np.int32)
+    model.maxima = np.maximum.reduceat(model.values, cut) if len(cut) else model.values
+    model.entries = np.searchsorted(term[order][cut], np.arange(len(words) + len(stems) + 1)).astype(np.int32)
+    votes, truth = _votes(vectors, model)
+    if len(votes):
+        model.steps, model.rates = _isotonic(votes, truth.astype(float), np.where(truth == 1, weight_of_one, 1.0))
     return model
 
 
@@ -207,11 +316,11 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Per row: doc_id, score, neighbours and cosines (the evidence, nearest first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = HashTable(model.lexicon)
+        vocabulary = Vocabulary(model.words, model.stems)
         for b in batches:
             n = b.num_rows
-            scores, near, cosines = np.full(n, model.no_evidence), [[]] * n, [[]] * n
-            for r, terms, counts in _row_terms(b.column(1), table):
+            scores, near, cosines = np.full(n, model.rate), [[]] * n, [[]] * n
+            for r, terms, counts in vocabulary.rows(b.column(1)):
                 found, cosine = model.nearest(terms, model.vector(terms, counts))
                 if len(found):
                     scores[r] = model.score(model.vote(found, cosine))

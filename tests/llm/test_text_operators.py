@@ -1,13 +1,17 @@
 import itertools
 import math
 import random
+import re
 import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from stackwave.llm import decontaminate, htmltext, langid, licenses, quality, toxicity
+from stackwave.llm import decontaminate, htmltext, langid, licenses, quality, samples, toxicity
+from stackwave.llm.textkit import SEPARATORS, Words, string_buffers
 
 from .cases import DE, EN, frame, odd_rows, row, sentence
 
@@ -273,22 +277,79 @@ def test_toxicity_of_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_block_max_search_is_exact(spark):
-    rows, labels = labelled(spark)
+def terms_of(text):
+    """Words and stems of a text, by their bytes, with the number of times each occurs."""
+    found = Counter()
+    for w in re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", (text or "").lower()):
+        found[w.encode(), False] += 1
+        for n in toxicity.STEMS:
+            if len(w.encode()) > n:
+                found[w.encode()[:n], True] += 1
+    return found
+
+
+def test_neighbours_against_dense_cosine_from_texts(spark, monkeypatch):
+    """Frequencies, weights, norms, cosines and neighbours of every text, by plain Python from the texts; blocks of four examples."""
+    monkeypatch.setattr(toxicity, "BLOCK", 4)
+    monkeypatch.setattr(toxicity, "FIRST", 2)
+    rows, labels = labelled(spark, 160)
+    rows += [row(1000 + k, r[1]) for k, r in enumerate(odd_rows())]
     docs = frame(spark, rows)
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
-    n = len(model.ids)
-    dense = np.zeros((len(model.lexicon), -(-n // toxicity.BLOCK) * toxicity.BLOCK))
-    for t in range(len(model.lexicon)):
-        a, e = model.pointers[t, 0], model.pointers[t, -1]
-        dense[t, model.postings[a:e]] = model.values[a:e]
-    table = toxicity.HashTable(model.lexicon)
-    for _, terms, counts in toxicity._row_terms(pa.array([r[1] for r in rows]), table):
-        v = model.vector(terms, counts)
-        near, cosine = model.nearest(terms, v)
-        s = np.minimum(v @ dense[terms], 1.0)
-        want = np.lexsort((np.arange(len(s)), -np.round(s, 12)))[: toxicity.NEIGHBOURS]
-        assert np.allclose(np.sort(cosine)[::-1], s[want][: len(cosine)]) and len(near) == min(toxicity.NEIGHBOURS, int((s > 0).sum()))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    texts = {r[0]: terms_of(r[1]) for r in rows}
+    examples = model.ids.tolist()
+    assert examples == [k for k, _, _ in labels if zlib.crc32(str(k).encode()) % 4 != 2] and model.labels.tolist() == [labels[k][2] for k in examples]
+
+    def number(words, stem):
+        column = pa.array([w.decode("utf-8", "ignore") + ("x" if stem else "") for w in words])
+        raw, offs = string_buffers(column)
+        w = Words(raw, offs, SEPARATORS)
+        return w.prefixes(len(words[0]))[1][:1] if stem else w.hash[:1]
+
+    # the vocabulary is all words of the examples; which stems are in it, and which terms are marked, is the model's choice
+    words = {t for k in examples for t, stem in texts[k] if not stem}
+    of = {int(h): k for k, h in enumerate(model.words)}
+    assert len(of) == len(words)
+    place = {(w, False): of[int(number([w], False)[0])] for w in words}
+    stems = {int(h): len(model.words) + k for k, h in enumerate(model.stems)}
+    for t in {t for c in texts.values() for t, stem in c if stem and t.isascii()}:
+        if (h := int(number([t], True)[0])) in stems:
+            place[t, True] = stems[h]
+    assert len(place) == len(model.weights) and len(model.stems) > 0
+    weight = {}
+    for t, k in place.items():
+        idf = math.log((len(rows) + 1) / (sum(t in c for c in texts.values()) + 1)) + 1
+        assert math.isclose(model.weights[k] / idf, 1) or math.isclose(model.weights[k] / idf, toxicity.RELEVANCE)
+        weight[t] = model.weights[k]
+
+    def vector(counts):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in counts.items() if t in place}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    known = [vector(texts[k]) for k in examples]
+    for r in rows[:160] + [r for r in rows[160:] if r[0] not in (1005, 1013)]:
+        v = vector(texts[r[0]])
+        cosine = np.array([sum(x * u.get(t, 0) for t, x in v.items()) for u in known])
+        want = np.lexsort((np.arange(len(cosine)), -np.round(cosine, 9)))[: toxicity.NEIGHBOURS]
+        want = want[cosine[want] > 0]
+        assert np.allclose(got[r[0]]["cosines"], cosine[want], atol=1e-5) and len(got[r[0]]["neighbours"]) == len(want)
+        clear = [j for j in want if (np.abs(cosine - cosine[j]) < 1e-5).sum() == 1]
+        assert set(np.array(examples)[clear].tolist()) <= set(got[r[0]]["neighbours"])
+    assert sum(not r["neighbours"] for k, r in got.items() if k < 1000) == 0
+
+
+def test_learned_rows_are_bounded_and_repeatable(spark):
+    """One labelled id with many texts gives one example; reruns over other partitions give the same rows."""
+    rows = [row(k % 3, f"text number {k}") for k in range(300)] + [row(10 + k, f"other {k}") for k in range(50)]
+    labels = [(k, 1, k % 2) for k in (0, 1, 2)] * 5 + [(10 + k, 1, k % 2) for k in range(50)]
+    found = []
+    for n in (1, 7):
+        docs, table = frame(spark, rows).repartition(n), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").repartition(n)
+        sample, totals = samples.labelled_texts(docs, table, "toxic", (4, 2), 10, True)
+        found.append((sorted(map(tuple, sample.collect())), totals))
+    assert found[0] == found[1] and len({r[0] for r in found[0][0]}) == len(found[0][0]) <= 40
 
 
 def test_quality_of_held_out_rows(spark):
