@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over links (a, b) with a > b.
+    """One large-star and one small-star step over a written table of links (a, b) with a > b, which goes.
 
     Both sides of each join are written tables, so a hub's rows meet its one minimum in a plain join, whose skewed partitions the
     planner can split; a sum and a join in one stage could not be.
@@ -17,9 +17,11 @@ def _stars(links: DataFrame) -> DataFrame:
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
     low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
     large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-    low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-    small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return low.select("a", F.col("m").alias("b")).union(small).distinct()
+    least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+    small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = materialize(least.select("a", F.col("m").alias("b")).union(small).distinct(), "stars")
+    discard(links, low, large, least)
+    return out
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -35,5 +37,5 @@ def connected_components(links: DataFrame) -> DataFrame:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        links, before = materialize(_stars(links), "stars"), now
+        links, before = _stars(links), now
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir; a temporary folder of this machine only where none is named (tests)."""
+    """The cluster's shared folder: spark.checkpoint.dir; where none is named, a temporary folder of this machine in local mode only (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if not have:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="stackwave-checkpoint-")
         atexit.register(shutil.rmtree, own, True)
         spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -31,11 +33,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back.
 
     It cuts the lineage: what follows neither recomputes ``df`` nor depends on an executor that may be lost, and it can
-    prune columns.  The folder's owner removes it; nothing here is read by a later run.
+    prune columns.  ``discard`` removes tables that nothing reads any more; the folder's owner removes the rest.
     """
     path = f"{shared_dir(df.sparkSession)}/stackwave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of ``materialize`` whose readers have all been written themselves."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"

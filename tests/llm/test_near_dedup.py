@@ -15,7 +15,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def brute(rows):
+def brute(rows, threshold=85):
     """Component of each row by its text, over all pairs."""
     sets = [shingles(r[1]) for r in rows]
     root = list(range(len(rows)))
@@ -28,13 +28,13 @@ def brute(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]) and rows[i][0] is not None and rows[j][0] is not None:
+            if both and 100 * both >= threshold * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
         if r[0] is not None:
             least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return sorted(((r[0], len(sets[i]), least.get(find(i)) if r[0] is not None else None) for i, r in enumerate(rows)), key=str)
+    return sorted(((r[0], len(sets[i]), least.get(find(i))) for i, r in enumerate(rows)), key=str)
 
 
 def found(spark, rows):
@@ -62,7 +62,7 @@ def test_odd_rows(spark):
     assert by[1, 0]["component_id"] == 1 and by[2, 0]["kept"] and by[3, 0]["component_id"] == 3
     assert by[5, 1]["component_id"] == 4 and not by[5, 1]["kept"]
     assert [r["component_id"] for r in got if r["doc_id"] == 8] == [7]
-    assert all(r["component_id"] is None and r["kept"] for r in got if r["doc_id"] is None)
+    assert [(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None] == [(7, False)]
 
 
 def test_empty_table(spark):
@@ -74,14 +74,55 @@ def test_against_all_pairs(spark):
     assert found(spark, rows) == brute(rows)
 
 
-def test_block_pairs_lose_no_link(spark, monkeypatch):
-    """Groups of more than eight classes are dealt out as pairs of blocks."""
-    rows = copies(120, seed=3)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_blocks_lose_no_link(spark, monkeypatch, seed):
+    """Groups of more than eight classes are dealt out in blocks, first with two centres, then between the parts that are left."""
+    rows = copies(120, seed=seed)
     want = brute(rows)
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
     assert found(spark, rows) == want
 
 
+def test_between_parts_compares_what_is_left(spark, monkeypatch):
+    """A base and texts that are each like the base only: what the first round can't link, the second does."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "CENTRES", 1)
+    chance = random.Random(8)
+    words = [f"w{k}" for k in range(400)]
+    rows = [row(50, " ".join(words))]
+    for k in range(40):
+        changed = list(words)
+        for at in chance.sample(range(0, 400, 10), 6):
+            changed[at] = f"y{k}_{at}"
+        rows.append(row(k, " ".join(changed)))
+    assert {c for _, _, c in brute(rows)} == {0}
+    assert found(spark, rows) == brute(rows)
+
+
+def test_repeated_and_null_ids(spark):
+    """Different texts under one id are different nodes; equal rows and copies without an id leave one row."""
+    chance = random.Random(21)
+    a, b, c, d = (sentence(chance, [f"v{k}" for k in range(500)], 60) for _ in range(4))
+    rows = [row(1, a), row(5, a + " tail"), row(5, b), row(7, b + " end"), row(9, c), row(9, c), row(None, d), row(None, d), row(None, d + " more"), row(None, ""), row(None, None), row(3, d[:40])]
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_duplicates(frame(spark, rows)).collect()), key=str) == brute(rows)
+    kept = near_dedup.unique(frame(spark, rows))
+    assert kept.columns == frame(spark, rows).columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    one = [x for x in got if x[1] and x[1].startswith(d)]
+    assert len(one) == 1 and sorted((x for x in got if x not in one), key=str) == sorted([(1, a), (5, b), (9, c), (None, ""), (None, None), (3, d[:40])], key=str)
+
+
+@pytest.mark.parametrize("threshold", [80, 85])
+def test_unique_leaves_one_row_of_each_component(spark, threshold):
+    rows = copies(100, seed=9) + odd_rows()
+    kept = [tuple(r)[:2] for r in near_dedup.unique(frame(spark, rows), threshold=threshold).collect()]
+    sets = {t: shingles(t) for _, t in kept}
+    assert len([t for _, t in kept if sets[t]]) == len({frozenset(sets[t]) for _, t in kept if sets[t]})
+    parts = {c for _, n, c in brute(rows, threshold) if n}
+    assert len([t for _, t in kept if sets[t]]) >= len(parts) and {k for k, t in kept if sets[t]} >= parts - {None}
+
+
 @pytest.mark.parametrize("text", ["a", "A b\tC", " lead and trail ", "é É x"])
 def test_words_hash_by_lower_ascii(text):
     import pyarrow as pa
