@@ -7,11 +7,10 @@ folder and reads them back as the next one's ``docs``, so a lost executor never
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from stackwave.llm import decontaminate, langid, mixing, sharding
-from stackwave.llm.near_dedup import near_duplicates
-from stackwave.llm.shared import fresh, materialize, maybe_broadcast, small_batches
+from stackwave.llm.near_dedup import unique
+from stackwave.llm.shared import materialize, small_batches
 
 SHARDS = 40
 #: Hundredths of the word shingles that near copies share; op1's own contract is 85.
@@ -25,11 +24,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
+    """Keeps one row of each group of near duplicates: that of the smallest doc_id."""
     small_batches(spark)
-    gone = fresh("gone", docs.columns)
-    dropped = materialize(near_duplicates(docs, threshold=NEAR).filter("not kept").select(F.col("doc_id").alias(gone)), "dropped")
-    return docs.join(maybe_broadcast(dropped, 8), docs["doc_id"] == dropped[gone], "left_anti")
+    return unique(docs, threshold=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
