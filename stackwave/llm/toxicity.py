@@ -1,13 +1,13 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, searched through a block-max inverted index.
 
 Terms are lower-cased runs of letters and digits: every word of the labelled examples, a bounded sample of labelled rows, is in
-the vocabulary.  Words and stems (the first 4 to 8 bytes of longer words) that go with one of the labels, under false-discovery
-control, are marked terms: marked stems join the vocabulary, and the TF-IDF weight of a marked term counts ``RELEVANCE`` times, so that of
-two texts on one subject the tone decides.  Document frequencies are counted over all documents.  A text's vector holds its terms of the vocabulary.
+the vocabulary, but for words of more than ``MOST_DF`` of all documents that aren't marked.  Words and stems (the first 4 to 8 bytes of longer
+words) that go with one of the labels, under false-discovery control, are marked terms: marked stems join the vocabulary, and the TF-IDF weight
+of a marked term counts ``RELEVANCE`` times, so that of two texts on one subject the tone decides.  Document frequencies are counted over all documents.  A text's vector holds its terms of the vocabulary.
 
 The examples are indexed by their terms in id-aligned blocks; each term keeps the largest weight of every block that has it.  A document's
-bound for a block is the sum of its weights times those maxima.  Blocks are opened by falling bound, in groups of rising size, until
-the bound is under the k-th best cosine, so the neighbours are exactly the k nearest (ties to the smaller example number).
+bound for a block is the sum of its weights times those maxima.  Blocks are opened by falling bound, the first few and then all others that reach the
+k-th best cosine so far, so the neighbours are exactly the k nearest (ties to the smaller example number).
 
 Votes weigh 1 / (distance + 0.05) with label 1 counting by its sampling rate; votes of the examples without themselves and their near copies
 calibrate the score isotonically.  A text that shares no term with any example has no neighbours; its score is the rate of label 1.
@@ -33,11 +33,13 @@ from .shared import materialize
 from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, row_slices, string_buffers
 
 #: Labelled rows of each label that are sampled; neighbours; examples of a block; blocks that are opened first.
-CAP, NEIGHBOURS, BLOCK, FIRST = 2500, 15, 64, 8
+CAP, NEIGHBOURS, BLOCK, FIRST = 2500, 15, 64, 4
 #: Lengths of stems in bytes.
 STEMS = (4, 5, 6, 7, 8)
+#: Words of more than this share of all documents are left out, unless marked: they bring any two texts near each other.
+MOST_DF = 0.1
 #: A marked term is in so many examples and has a log odds ratio of so much either way, at least; RATE is the share of marked terms that may be there by chance.
-LEAST_DF, LEAST_LOG_ODDS, RATE, RELEVANCE = 4, 1.5, 0.005, 4.0
+LEAST_DF, LEAST_LOG_ODDS, RATE, RELEVANCE = 4, 1.5, 0.005, 8.0
 
 
 def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +148,7 @@ class ToxicityModel:
             best, score = np.concatenate([best, new]), np.concatenate([score, s[new]])
             top = np.lexsort((best, -score))[:NEIGHBOURS]
             best, score = best[top], score[top]
-            done, size = done + len(now), size * 2
+            done, size = done + len(now), len(order)
         return best, np.minimum(score, 1.0)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -291,6 +293,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[in
     words, stems = term[~stem], term[stem & marked]
     relevance = np.concatenate([np.where(marked[~stem], RELEVANCE, 1.0), np.full(len(stems), RELEVANCE)])
     df, n_docs = _document_frequencies(docs, words, stems)
+    keep = (relevance > 1) | (df <= MOST_DF * n_docs)
+    words, relevance, df = words[keep[: len(words)]], relevance[keep], df[keep]
     weight_of_one = (totals[1] / groups[1][1]) / (totals[0] / groups[0][1])
 
     vectors = _numbered(examples, words, stems)
