@@ -55,6 +55,12 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def ragged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of all ranges, one range after the other."""
+    size = end - start
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and n + 1 offsets of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

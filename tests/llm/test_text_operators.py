@@ -165,7 +165,7 @@ def items(spark, texts):
 def test_overlaps_with_substitutions(spark):
     chance = random.Random(4)
     words = [f"w{k}" for k in range(900)]
-    bench = [sentence(chance, words, n) for n in (15, 20, 40, 60)] + [None, "", "the of and", sentence(chance, words, 6)]
+    bench = [sentence(chance, words, n) for n in (15, 20, 40, 60)] + [None, "", "zz yy xx", sentence(chance, words, 6)]
     other = [f"v{k}" for k in range(900)]
 
     def hide(item, changed):
@@ -174,10 +174,10 @@ def test_overlaps_with_substitutions(spark):
             w[k] = "changed"
         return f"{sentence(chance, other, 30)} {' '.join(w).upper()} {sentence(chance, other, 30)}"
 
-    rows = [row(0, hide(0, [])), row(1, hide(1, [7])), row(2, hide(2, [5, 13, 21, 30])), row(3, hide(3, [10, 20, 30, 40, 50])), row(4, sentence(chance, other, 90)), row(5, "the of and " + sentence(chance, other, 20)), row(6, bench[7]), row(7, f"{bench[0]} {bench[3]}")]
+    rows = [row(0, hide(0, [])), row(1, hide(1, [7])), row(2, hide(2, [5, 13, 21, 30])), row(3, hide(3, [10, 20, 30, 40, 50])), row(4, sentence(chance, other, 90)), row(5, "zz yy xx " + sentence(chance, other, 20)), row(6, bench[7]), row(7, f"{bench[0]} {bench[3]}")]
     docs = frame(spark, rows + [row(100 + k, r[1]) for k, r in enumerate(odd_rows())])
     got = {r["doc_id"]: r for r in decontaminate.overlaps(docs, items(spark, bench)).collect()}
-    assert [got[k]["item_ids"] for k in range(8)] == [[0], [1], [2], [3], [], [], [7], [0, 3]]
+    assert [got[k]["item_ids"] for k in range(8)] == [[0], [1], [2], [3], [], [6], [7], [0, 3]]
     assert got[0]["spans"][0]["first"] == 30 and got[0]["spans"][0]["end"] == 45
     assert not any(got[100 + k]["contaminated"] for k in range(len(odd_rows())))
     kept = decontaminate.clean_only(docs, items(spark, bench))
@@ -187,8 +187,8 @@ def test_overlaps_with_substitutions(spark):
 
 
 def test_masks_hit_every_accepted_run():
-    """All substitutions in items of 5 to 14 terms that the run rule accepts; of longer items, all ways to the twelfth equal term of a run."""
-    for n in range(5, 15):
+    """All substitutions in items of 1 to 14 terms that the run rule accepts; of longer items, all ways to the twelfth equal term of a run."""
+    for n in range(1, 15):
         item, wanted, texts, need = [f"t{k}" for k in range(n)], [], [], min(12, math.ceil(0.8 * n))
         for equal in itertools.product((True, False), repeat=n):
             runs = [(sum(1 if e else -2 for e in equal[a:b]), -b, -a, sum(equal[a:b])) for a in range(n) for b in range(a + 1, n + 1)] if sum(equal) >= need else [(0, 0, 0, 0)]
@@ -197,7 +197,7 @@ def test_masks_hit_every_accepted_run():
             if max(r for r in runs if r[:2] == (best, stop))[3] >= need:
                 wanted.append(len(texts))
             texts.append("before " + " ".join(t if e else "x" for t, e in zip(item, equal, strict=True)) + " after")
-        found = [row for row, _ in decontaminate.Benchmark([1], pa.array([" ".join(item)])).overlaps(pa.array(texts))]
+        found = [row for row, _, _ in decontaminate.Benchmark([1], pa.array([" ".join(item)])).overlaps(pa.array(texts))]
         assert found == wanted
     todo = [("", 0)]
     while todo:
@@ -223,6 +223,60 @@ def test_benchmark_in_blocks(spark, monkeypatch):
     docs = frame(spark, [row(k, f"before it {t} after it") for k, t in enumerate(bench)])
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 200)
     assert {r["doc_id"]: r["item_ids"] for r in decontaminate.overlaps(docs, items(spark, bench)).collect()} == {k: [k] for k in range(12)}
+    assert decontaminate.clean_only(docs, items(spark, bench)).count() == 0
+
+
+def test_short_items_and_items_of_equal_terms(spark):
+    """Items of one to four terms are reported where they stand whole; they cost a document its place only when it holds nothing else."""
+    bench = spark.createDataFrame([(1, "one two three four"), (2, "Five, six"), (3, "seven"), (4, "ONE two; three four"), (5, " ")], "item_id long, text string")
+    docs = frame(spark, [row(0, "so one two three four go"), row(1, "one two three"), row(2, "five six"), row(3, "x seven y"), row(4, "seven"), row(5, "one two four three")])
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {0: [1, 4], 1: [], 2: [2], 3: [3], 4: [3], 5: []}
+    assert {r["doc_id"] for r in decontaminate.clean_only(docs, bench).collect()} == {0, 1, 3, 5}
+
+
+def test_items_with_one_preamble(spark, monkeypatch):
+    """Many items share their first terms; pieces of a few places at a time find what all at once find."""
+    chance = random.Random(16)
+    words, preamble = [f"w{k}" for k in range(500)], "please answer the question below with one letter only"
+    bench = [f"{preamble} {sentence(chance, words, 20)}" for _ in range(60)]
+    texts = [f"{preamble} {sentence(chance, words, 30)}", f"before {bench[3]} and {bench[40]} after", preamble] * 3
+    want = list(decontaminate.Benchmark(list(range(60)), pa.array(bench)).overlaps(pa.array(texts)))
+    assert [(r, [h[0] for h in hits]) for r, hits, _ in want] == [(k, [3, 40]) for k in (1, 4, 7)]
+    monkeypatch.setattr(decontaminate._pieces, "__defaults__", (50,))
+    assert list(decontaminate.Benchmark(list(range(60)), pa.array(bench)).overlaps(pa.array(texts))) == want
+
+
+@pytest.mark.parametrize("n", [3, 10, 16, 40])
+def test_overlaps_against_all_diagonals(n):
+    """Random texts with dented items against the best run on every diagonal of every item."""
+    chance, words = random.Random(n), [f"w{k}" for k in range(60)]
+    bench = [[chance.choice(words) for _ in range(n)] for _ in range(12)]
+    texts = []
+    for _ in range(150):
+        dented = [w if chance.random() > 0.15 else "x" for w in chance.choice(bench)]
+        texts.append([chance.choice(words) for _ in range(chance.randrange(20))] + dented + [chance.choice(words) for _ in range(chance.randrange(20))])
+    need, want = min(12, math.ceil(0.8 * n)), []
+    for r, text in enumerate(texts):
+        for i, item in enumerate(bench):
+            best = 0
+            for start in range(1 - n, len(text)):
+                places = range(max(0, start), min(len(text), start + n))
+                gain, runs = 0, []
+                low, at = 0, 0
+                equal = [text[p] == item[p - start] for p in places]
+                for k, e in enumerate(equal):
+                    gain += 1 if e else -2
+                    runs.append((gain - low, -k, at))
+                    if gain < low:
+                        low, at = gain, k + 1
+                if runs and max(runs)[0] > 0:
+                    _, k, at = max(runs)
+                    best = max(best, sum(equal[at : 1 - k]))
+            if best >= need:
+                want.append((r, i))
+    got = [(r, h[0]) for r, hits, _ in decontaminate.Benchmark(list(range(12)), pa.array([" ".join(b) for b in bench])).overlaps(pa.array([" ".join(t) for t in texts])) for h in hits]
+    assert got == want
 
 
 def test_license_spans(spark):
@@ -307,11 +361,11 @@ def test_neighbours_against_dense_cosine_from_texts(spark, monkeypatch):
         w = Words(raw, offs, SEPARATORS)
         return w.prefixes(len(words[0]))[1][:1] if stem else w.hash[:1]
 
-    # the vocabulary is all words of the examples; which stems are in it, and which terms are marked, is the model's choice
+    # the vocabulary is all words of the examples but frequent ones; which stems are in it, and which terms are marked, is the model's choice
     words = {t for k in examples for t, stem in texts[k] if not stem}
     of = {int(h): k for k, h in enumerate(model.words)}
-    assert len(of) == len(words)
-    place = {(w, False): of[int(number([w], False)[0])] for w in words}
+    place = {(w, False): of[h] for w in words if (h := int(number([w], False)[0])) in of}
+    assert len(place) == len(of) and all(sum((w, False) in c for c in texts.values()) > toxicity.MOST_DF * len(rows) for w in words if (w, False) not in place)
     stems = {int(h): len(model.words) + k for k, h in enumerate(model.stems)}
     for t in {t for c in texts.values() for t, stem in c if stem and t.isascii()}:
         if (h := int(number([t], True)[0])) in stems:
@@ -325,7 +379,7 @@ def test_neighbours_against_dense_cosine_from_texts(spark, monkeypatch):
 
     def vector(counts):
         v = {t: (1 + math.log(n)) * weight[t] for t, n in counts.items() if t in place}
-        norm = math.sqrt(sum(x * x for x in v.values()))
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
         return {t: x / norm for t, x in v.items()}
 
     known = [vector(texts[k]) for k in examples]
@@ -337,7 +391,7 @@ def test_neighbours_against_dense_cosine_from_texts(spark, monkeypatch):
         assert np.allclose(got[r[0]]["cosines"], cosine[want], atol=1e-5) and len(got[r[0]]["neighbours"]) == len(want)
         clear = [j for j in want if (np.abs(cosine - cosine[j]) < 1e-5).sum() == 1]
         assert set(np.array(examples)[clear].tolist()) <= set(got[r[0]]["neighbours"])
-    assert sum(not r["neighbours"] for k, r in got.items() if k < 1000) == 0
+    assert sum(not r["neighbours"] for k, r in got.items() if k < 1000) <= 8
 
 
 def test_learned_rows_are_bounded_and_repeatable(spark):
