@@ -3,12 +3,11 @@
 Terms are lower-cased runs of letters and digits.  A mask is a window of terms of which the positions marked 0 are ignored;
 the windows of all benchmark items and all documents are hashed under each of ``MASKS``, so a term that was exchanged at an
 ignored position doesn't hide a hit.  Document hashes are joined with the benchmark's in the task that reads the document.  Each
-hit names an item and a diagonal; along it, document and item are compared term by term, and the best run, with +1 for an
-equal term and -2 for another, is the overlap.  A document is contaminated by an item when the overlap has ``OVERLAP`` equal terms or
-0.8 of the item's, if that is fewer.
+hit names an item and a diagonal; along it, document and item are compared term by term.  An item of up to 14 terms contaminates a document when 0.8 of its
+terms are equal on a diagonal; a longer one when the best run, with +1 for an equal term and -2 for another, has ``OVERLAP`` equal terms.
 
-The masks hit every run that is accepted: ``MASKS`` in items of nine terms or more, with those of ``SHORT`` in items of up to eight; items of one to
-four terms are accepted whole only, so one mask without gaps finds them.  Such items are reported like any other, but as they are met by chance,
+The masks hit every overlap that is accepted: ``MASKS`` those of items of 15 terms or more, those of ``SHORT`` the others.  Items of one to
+four terms are accepted whole only.  They are reported like any other, but as they are met by chance,
 ``clean_only`` drops a document for an item of fewer than ``LEAST`` terms only when the document holds nothing else.
 
 Items without an id are searched, and come last; items of equal terms are searched once.  The benchmark is taken in blocks of at most
@@ -30,7 +29,7 @@ from .shared import discard, materialize
 from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, ragged, row_slices, string_buffers
 
 MASKS = ("110101011", "1110010011", "1101100111", "11101100001", "11011101", "1110001101", "11110101", "1011001011")
-SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111",), 6: ("11111", "110111"), 7: ("111111", "1110111", "1101111"), 8: ("1110111",)}
+SHORT = {1: ("1",), 2: ("11",), 3: ("111",), 4: ("1111",), 5: ("1111", "11011", "10111", "11101")} | dict.fromkeys(range(6, 12), ("1111", "11011")) | dict.fromkeys(range(12, 15), ("1111",))
 OVERLAP, LEAST, BLOCK_BYTES = 12, 5, 4 << 20
 #: Places that are held at a time when hits are looked at.
 PLACES = 1 << 20
@@ -84,7 +83,7 @@ class Benchmark:
                 lengths.setdefault(mask, []).append(length)
         for mask in (*MASKS, *lengths):
             at, hashes = masked_hashes(words, mask)
-            keep = np.isin(counts[words.row[at]], lengths[mask]) if mask in lengths else counts[words.row[at]] >= LEAST
+            keep = np.isin(counts[words.row[at]], lengths[mask]) if mask in lengths else counts[words.row[at]] > max(SHORT)
             at, hashes = at[keep], hashes[keep]
             order = np.argsort(hashes, kind="stable")
             at, hashes = at[order].astype(np.int32), hashes[order]
@@ -134,10 +133,13 @@ class Benchmark:
                 yield lo + row, [(i, *best[row, item]) for item in found for i in self.ids[item]], bool((sizes >= LEAST).any() or (sizes == words.first[row + 1] - words.first[row]).any())
 
     def _run(self, words: Words, row: int, item: int, start: int) -> tuple[int, int, int]:
-        """The best run on the diagonal that puts the item's first term at ``start``: first and end term of the row, equal terms."""
-        base, end = int(words.first[row]), int(words.first[row + 1])
-        a, e = max(start, base), min(start + int(self.first[item + 1] - self.first[item]), end)
+        """The overlap on the diagonal that puts the item's first term at ``start``: first and end term of the row, equal terms."""
+        base, end, size = int(words.first[row]), int(words.first[row + 1]), int(self.first[item + 1] - self.first[item])
+        a, e = max(start, base), min(start + size, end)
         equal = words.hash[a:e] == self.terms[self.first[item] + a - start : self.first[item] + e - start]
+        if size <= max(SHORT):
+            at = np.flatnonzero(equal)
+            return (a + int(at[0]) - base, a + int(at[-1]) + 1 - base, len(at)) if len(at) else (a - base, a - base, 0)
         gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
         low = np.minimum.accumulate(gain)
         stop = int((gain - low).argmax())
