@@ -291,6 +291,64 @@ def test_license_spans(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def licenses_of(*texts):
+    found = dict(licenses.LicenseIndex(licenses.TEMPLATES).scan(pa.array(texts)))
+    return [sorted({s[0] for s in found.get(k, [])}) for k in range(len(texts))]
+
+
+def test_every_template_names_its_license():
+    flat = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    assert licenses_of(*(f"Some words before it. {t} And some after." for _, t in flat)) == [[n] for n, _ in flat]
+
+
+def test_near_licenses_are_told_apart():
+    notice = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+    bsd2 = licenses.TEMPLATES["BSD-2-Clause"][0]
+    got = licenses_of(
+        notice.format("Lesser General Public License", "3"), notice.format("Lesser General Public License", "2.1"), notice.format("Affero General Public License", "3"), notice.format("General Public License", "3"), notice.format("General Public License", "2"),
+        bsd2, bsd2.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR AND CONTRIBUTORS"), licenses.TEMPLATES["BSD-3-Clause"][0],
+        "This work is licensed under the GNU General Public License, version 2", "This work is licensed under the GNU General Public License, version 4", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY 3.0", "Released under MIT License", "Released under the BSD License",
+    )
+    assert got == [["LGPL-3.0"], ["LGPL-2.1"], ["AGPL-3.0"], ["GPL-3.0"], ["GPL-2.0"], ["BSD-2-Clause"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["GPL-2.0"], [], ["CC-BY-NC-SA-4.0"], [], ["MIT"], []]
+
+
+def test_short_templates_are_found_whatever_term_changes():
+    """One term missing or exchanged that isn't a mark, in every template of 5 to 9 terms."""
+    index = licenses.LicenseIndex(licenses.TEMPLATES)
+    for t, terms in enumerate(index.terms):
+        if 5 <= len(terms) <= 9:
+            for k in np.flatnonzero(~index.marks[t]).tolist():
+                for other in ([], [np.uint64(1)]):
+                    changed = np.concatenate([terms[:k], np.array(other, np.uint64), terms[k + 1 :]])
+                    size, places = licenses.grams(index.marks[t])
+                    held = {changed[j : j + size].tobytes() for j in range(len(changed) - size + 1)}
+                    assert any(terms[j : j + size].tobytes() in held for j in places)
+
+
+def test_alignment_against_plain_dynamic_programming():
+    chance = np.random.default_rng(12)
+    for _ in range(60):
+        template = chance.integers(0, 9, 14).astype(np.uint64)
+        document = np.concatenate([chance.integers(0, 9, 5), np.delete(template, chance.integers(14)), chance.integers(0, 9, 4)]).astype(np.uint64)
+        low, high = 2, 9
+        score = {}
+        for i in range(14):
+            for j in range(len(document)):
+                if low <= j - i <= high:
+                    score[i, j] = max(0, score.get((i - 1, j - 1), 0) + (2 if template[i] == document[j] else -1), score.get((i - 1, j), 0) - 1, score.get((i, j - 1), 0) - 1)
+        mine, theirs, edits = licenses.align(document, template, low, high)
+        assert (template[mine] == document[theirs]).all() and (np.diff(mine) > 0).all() and (np.diff(theirs) > 0).all() and ((theirs - mine >= low) & (theirs - mine <= high)).all()
+        assert 2 * len(mine) - edits == max(score.values())
+
+
+def test_full_texts_from_a_folder(tmp_path):
+    (tmp_path / "Mine").write_text(" ".join(f"term{k % 700}" for k in range(3000)))
+    index = licenses.LicenseIndex(licenses.from_folder(str(tmp_path)))
+    text = " ".join(f"term{k % 700}" for k in range(3000) if k % 40)
+    (row, spans), *_ = index.scan(pa.array([f"before {text} after"]))
+    assert row == 0 and spans[0][0] == "Mine" and spans[0][4] > 0.95
+
+
 def test_winnowed_places_cover_every_window():
     h = np.random.default_rng(1).integers(0, 50, 200).astype(np.uint64)
     at = set(licenses.winnow(h, 4).tolist())
