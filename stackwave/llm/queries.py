@@ -103,4 +103,15 @@ SQL: dict[str, str] = {
         s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q))
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
         QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10""",
+    # crc32 by its table of 256 remainders, made from the polynomial
+    "op10_sharding": """
+        WITH t AS (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)),
+        k AS (SELECT list(v ORDER BY i) AS v FROM t),
+        d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size,
+            list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda b: CAST('0x' || b AS BIGINT)) AS bytes FROM documents),
+        c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, v[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, k),
+        s AS (SELECT *, sum(size) OVER () AS total, sum(size) OVER o - size AS before FROM c WINDOW o AS (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS UNBOUNDED PRECEDING)),
+        p AS (SELECT *, CAST(least(((2 * before + size) * 40) // (2 * total), 39) AS INTEGER) AS shard FROM s)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p""",
 }

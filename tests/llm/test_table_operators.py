@@ -1,13 +1,16 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stackwave.llm import mixing, sharding, topk
+from stackwave.llm.queries import QUERIES
 
-from .cases import WORD, frame, odd_rows, row, sentence
+from ..compare import connection
+from .cases import EN, WORD, frame, odd_rows, row, sentence
 
 
 def vectors(spark, rows):
@@ -95,6 +98,96 @@ def test_repeat_gives_whole_rows(spark):
     assert mixing.repeat(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def crowded(n=3000):
+    """Nine tenths of the rows without an id, a third of all rows equal, many others under one id."""
+    chance = random.Random(14)
+    rows = [row(None, "the same text again", "en", "s1")] * (n // 3)
+    rows += [row(None, sentence(chance, EN, chance.randrange(0, 30)), "en", chance.choice(["s1", "s2"])) for _ in range(n * 9 // 10 - n // 3)]
+    rows += [row(7, sentence(chance, EN, chance.randrange(1, 30)), "en", "s3") for _ in range(n // 20)] + [row(k, sentence(chance, EN, 12), "en", None) for k in range(n // 20)]
+    return rows
+
+
+def test_mix_of_crowded_ids(spark, monkeypatch):
+    """Targets are met, no group holds more rows than its share, and repeating gives as many rows as the mix says."""
+    monkeypatch.setattr(mixing, "GROUP", 64)
+    monkeypatch.setattr(mixing, "FANOUT", 4)
+    monkeypatch.setattr(mixing, "RUN", 100)
+    rows = crowded()
+    got = mixing.mix(frame(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"]) for r in got) == sorted((str(r[0]), str(r[3]), len(WORD.findall(r[1]))) for r in rows)
+    size = defaultdict(int)
+    for r in rows:
+        size[r[3]] += len(WORD.findall(r[1]))
+    goal, taken = mixing.targets(size), defaultdict(int)
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert np.isclose(r["target"], goal[r["source"]]) and r["source_size"] == size[r["source"]] and r["taken"] <= 3 * r["size"]
+    assert all(abs(taken[s] - goal[s]) <= 30 for s in size)
+    seen = Counter((r["doc_id"], r["text"]) for r in mixing.repeat(frame(spark, rows)).collect())
+    words = defaultdict(int)
+    for (doc_id, text), n in seen.items():
+        words[next(r[3] for r in rows if r[:2] == (doc_id, text))] += n * len(WORD.findall(text))
+    assert all(abs(words[s] - goal[s]) <= 30 for s in ("s3", None))
+    assert seen == Counter((r["doc_id"], r["text"]) for r in mixing.repeat(frame(spark, rows[::-1]).repartition(5)).collect())
+
+
+def test_groups_of_crowded_ids_are_small(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 64)
+    seen, level = [], mixing._level
+
+    def watched(rows, last):
+        seen.append(rows.groupBy("source", "part").count().agg(F.max("count")).first()[0])
+        return level(rows, last)
+
+    monkeypatch.setattr(mixing, "_level", watched)
+    mixing.mix(frame(spark, crowded())).count()
+    assert max(seen) < 2 * 64
+
+
+def test_many_sources_get_the_targets_of_few(spark, monkeypatch):
+    chance = random.Random(5)
+    rows = [row(k, sentence(chance, EN, chance.choice([1, 3, 200])), "en", f"source {chance.randrange(300)}" if k % 50 else None) for k in range(900)]
+    few = mixing.mix(frame(spark, rows)).select("source", "source_size", "target").distinct().collect()
+    monkeypatch.setattr(mixing, "FEW", 0)
+    many = mixing.mix(frame(spark, rows)).select("source", "source_size", "target").distinct().collect()
+    assert {r["source"]: round(r["target"], 6) for r in few} == {r["source"]: round(r["target"], 6) for r in many} and len(few) == len(many) > 200
+
+
+def test_sizes_and_targets_equal_sql(spark):
+    """What SQL can say of a mix: sizes, sums of sources, and targets after capping at three times the size."""
+    sf = "/root/testdata/sf0.001"
+    want = connection(sf).sql(MIX_SQL).fetchall()
+    got = QUERIES["op8_source_mixing"](spark, sf).select("doc_id", "size", "source_size", "target").collect()
+    assert sorted((a, b, c, round(t, 6)) for a, b, c, t in want) == sorted((r[0], r[1], r[2], round(r[3], 6)) for r in got)
+
+
+#: Sources are capped in the order of size by weight, so those before the first that fits under its cap are the capped ones.
+MIX_SQL = """
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    s AS (SELECT source, sum(size) AS n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+    o AS (SELECT *, sum(n) OVER () AS total, coalesce(sum(n) OVER before, 0) AS cut, sum(w) OVER after AS free FROM s
+        WINDOW before AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), after AS (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    u AS (SELECT (total - 3 * cut) / free AS unit FROM o WHERE w * (total - 3 * cut) / free <= 3 * n ORDER BY n / w, source LIMIT 1)
+    SELECT d.doc_id, d.size, s.n AS source_size, least(3 * s.n, s.w * u.unit) AS target FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source CROSS JOIN u"""
+
+
+@pytest.mark.parametrize("run", [10, 100_000])
+def test_shards_of_crowded_ids(spark, monkeypatch, run):
+    """Balance, order and slots against a plain running sum over all rows."""
+    monkeypatch.setattr(sharding, "RUN", run)
+    monkeypatch.setattr(sharding, "RANGE_ROWS", 100)
+    rows = [r for r in crowded(1200)]
+    got = sorted((r["shard"], r["slot"], r["doc_id"] is not None, r["doc_id"] or 0, r["text_crc32"], r["size"]) for r in sharding.shard(frame(spark, rows), 40).collect())
+    kinds = sorted((r[0] is not None, r[0] or 0, zlib.crc32(r[1].encode()), len(r[1].encode()) + 16) for r in rows)
+    total, at, want, slots = sum(k[3] for k in kinds), 0, [], Counter()
+    for k in kinds:
+        shard = min(39, (2 * at + k[3]) * 40 // (2 * total))
+        want.append((shard, slots[shard], *k))
+        slots[shard] += 1
+        at += k[3]
+    assert got == want
+
+
 @pytest.mark.parametrize("shards", [1, 7, 40])
 def test_shards_are_balanced_and_contiguous(spark, shards):
     rows = documents(600)
