@@ -26,9 +26,9 @@ def event_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(date): order days at a distance of whole twelve days from 1995-01-01; years of acquisitions."""
-    day = F.to_date("o_orderdate")
-    return table(spark, sf_dir, "orders").select(day.alias("date")).filter(F.datediff("date", F.lit("1995-01-01").cast("date")) % 12 == 0).distinct()
+    """(date): the first order day of each span of twelve days from 1995-01-01; years of acquisitions."""
+    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("date"))
+    return days.groupBy(F.floor(F.datediff("date", F.lit("1995-01-01").cast("date")) / 12).alias("span")).agg(F.min("date").alias("date")).select("date")
 
 
 def event_network(spark: SparkSession, sf_dir: str, neighbours: int = 3) -> DataFrame:
@@ -79,14 +79,17 @@ def image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("row", "col").agg((F.max_by("cents", "date") / 100).alias("value"))
 
 
-def image_grid(rows: int = 16) -> Grid:
+def image_grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """The grid of all users' pixels, at least square: its height is one aggregate over the events."""
+    last = table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
+    rows = max(COLUMNS, (last or 0) // COLUMNS + 1)
     return Grid(COLUMNS, rows, 0.0, float(rows), 1.0, 1.0)
 
 
-def temperatures(spark: SparkSession, sf_dir: str, sites: int = 5) -> DataFrame:
-    """(site, date, t): daily temperatures of some nations over five years, in eighths of a degree."""
+def temperatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(site, date, t): daily temperatures of all nations over five years, in eighths of a degree."""
     day = F.explode(F.sequence(F.lit("1995-01-01").cast("date"), F.lit("1999-12-31").cast("date"))).alias("date")
-    rows = table(spark, sf_dir, "nation").filter(F.col("n_nationkey") < sites).select(F.col("n_nationkey").cast("int").alias("site"), day)
+    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("site"), day)
     n = F.datediff("date", F.lit("1995-01-01").cast("date"))
     return rows.select("site", "date", ((220 - 3 * F.abs(F.dayofyear("date") - 200) + (F.col("site") * 7 + n * 13) % 41 + 8 * F.col("site")) / 8).alias("t"))
 

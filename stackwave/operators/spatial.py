@@ -55,9 +55,27 @@ def sample_points(raster: DataFrame, grid: Grid, points: DataFrame, *keys: str,
     if crs and grid.crs:
         x, y = project(x, y, crs, grid.crs)
     at = points.select("point_id", grid.row(y).alias("row"), grid.col(x).alias("col"))
-    if keys:
-        at = at.join(F.broadcast(raster.select(*keys).distinct()))  # a row a scene
-    return at.join(raster.select(*keys, "row", "col", "value"), [*keys, "row", "col"], "left").select(*keys, "point_id", "value")
+    found = raster.select(*keys, "row", "col", "value")
+    if not keys:
+        return at.join(found, ["row", "col"], "left").select("point_id", "value")
+    at = with_scenes(at, raster.select(*keys))
+    return at.join(found, [*keys, "row", "col"], "left").select(*keys, "point_id", "value")
+
+
+def with_scenes(rows: DataFrame, scenes: DataFrame, most: int = 100_000) -> DataFrame:
+    """Each row once for every scene (distinct rows of ``scenes``), by an array of them in the plan instead of a join.
+
+    A stack has thousands of scenes; more than ``most`` are an error.
+    """
+    known = scenes.distinct().limit(most + 1).collect()
+    if len(known) > most:
+        raise ValueError(f"more than {most} scenes")
+    kind = f"array<struct<{','.join(f'{f.name}:{f.dataType.simpleString()}' for f in scenes.schema)}>>"
+    kinds = [f.dataType for f in scenes.schema]
+    if not known:
+        return rows.select("*", *(F.lit(None).cast(k).alias(f.name) for k, f in zip(kinds, scenes.schema, strict=True))).limit(0)
+    each = F.array(*(F.struct(*(F.lit(v).cast(k).alias(n) for n, v, k in zip(scenes.columns, r, kinds, strict=True))) for r in known)).cast(kind)
+    return rows.select("*", F.inline(each))
 
 
 def window(raster: DataFrame, grid: Grid, box: Box, *keys: str, padded: bool = False) -> DataFrame:
@@ -69,7 +87,7 @@ def window(raster: DataFrame, grid: Grid, box: Box, *keys: str, padded: bool = F
         return inside
     cells = grid_pixels(raster, grid.sub(box))
     if keys:
-        cells = cells.join(F.broadcast(raster.select(*keys).distinct()))  # a row a scene
+        cells = with_scenes(cells, raster.select(*keys))
     return cells.join(inside, [*keys, "row", "col"], "left").select(*keys, "row", "col", "value")
 
 
@@ -118,19 +136,20 @@ def ring_bounds(rings: Column) -> Column:
     return F.struct(F.array_min(xs).alias("left"), F.array_min(ys).alias("bottom"), F.array_max(xs).alias("right"), F.array_max(ys).alias("top"))
 
 
-def _covered(pixels: DataFrame, grid: Grid, polygons: DataFrame, all_touched: bool, pad: bool) -> DataFrame:
-    """(poly_id, row, col) of the pixels that polygons cover; the bounding box of each polygon picks its pixels by an equi-join on rows.
+def _covered(frame: DataFrame, grid: Grid, polygons: DataFrame, all_touched: bool, pad: bool) -> DataFrame:
+    """(poly_id, row, col) of the grid's pixels that polygons cover; the bounding box of each polygon gives its pixels, without a join.
 
     A pixel is covered by its centre, or with ``all_touched`` by any part.  ``pad`` grows the box of candidates by half a pixel.
     """
     b = ring_bounds(F.col("rings"))
     grow = 0.5 if pad or all_touched else 0.0
-    rows = polygons.select("poly_id", "rings", b.alias("b")).select(
-        "poly_id", "rings",
-        F.explode(F.sequence(F.floor((F.lit(grid.top) - F.col("b.top")) / grid.yres - grow).cast("int"), F.floor((F.lit(grid.top) - F.col("b.bottom")) / grid.yres + grow).cast("int"))).alias("row"),
-        F.floor((F.col("b.left") - grid.left) / grid.xres - grow).alias("_c0"), F.floor((F.col("b.right") - grid.left) / grid.xres + grow).alias("_c1"),
-    )
-    near = pixels.select("row", "col").distinct().join(rows, "row").filter(F.col("col").between(F.col("_c0"), F.col("_c1")))
+    def places(low: Column, high: Column, size: int) -> Column:
+        first, last = F.greatest(F.floor(low - grow), F.lit(0)).cast("int"), F.least(F.floor(high + grow), F.lit(size - 1)).cast("int")
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    rows = polygons.select("poly_id", "rings", b.alias("b"))
+    rows = rows.select("poly_id", "rings", "b", F.explode(places((F.lit(grid.top) - F.col("b.top")) / grid.yres, (F.lit(grid.top) - F.col("b.bottom")) / grid.yres, grid.height)).alias("row"))
+    near = rows.repartition("poly_id", "row").select("poly_id", "rings", "row", F.explode(places((F.col("b.left") - grid.left) / grid.xres, (F.col("b.right") - grid.left) / grid.xres, grid.width)).alias("col"))
     x, y = grid.x(F.col("col")), grid.y(F.col("row"))
     covered = point_in_rings(x, y, F.col("rings"))
     if all_touched:
@@ -144,13 +163,31 @@ def polygon_pixels(raster: DataFrame, grid: Grid, polygons: DataFrame, all_touch
     Polygons (poly_id, type, rings) are desired or undesired.  With desired ones, a pixel comes once for each desired polygon that covers it,
     unless an undesired one covers it too; with undesired ones only, all pixels that none covers come, with a null poly_id.
     """
-    wanted = _covered(raster, grid, polygons.filter("type = 'desired'"), all_touched, pad)
-    blocked = _covered(raster, grid, polygons.filter("type = 'undesired'"), all_touched, pad).select("row", "col").distinct()
-    only_blocked = polygons.filter("type = 'desired'").limit(1).agg((F.count("*") == 0).alias("_none"))
-    free = raster.join(blocked, ["row", "col"], "left_anti")
-    chosen = free.join(wanted, ["row", "col"]).select(*raster.columns, "poly_id")
-    rest = free.join(F.broadcast(only_blocked)).filter("_none").select(*raster.columns, F.lit(None).cast("long").alias("poly_id"))
-    return chosen.unionByName(rest)
+    desired, undesired = polygons.filter("type = 'desired'"), polygons.filter("type = 'undesired'")
+    if not undesired.isEmpty():
+        blocked = _covered(raster, grid, undesired, all_touched, pad).select("row", "col").distinct()
+        raster = raster.join(blocked, ["row", "col"], "left_anti")
+    if desired.isEmpty():
+        return raster.select(*raster.columns, F.lit(None).cast("long").alias("poly_id"))
+    return raster.join(_covered(raster, grid, desired, all_touched, pad), ["row", "col"]).select(*raster.columns, "poly_id")
+
+
+def boxes_near(a: DataFrame, b: DataFrame, cell: float, key: str = "id") -> DataFrame:
+    """Every pair of boxes (id, left, bottom, right, top) of two tables that share a cell of a square lattice, once; columns a_* and b_*.
+
+    An equi-join on cells; with cells about as large as the boxes each goes to a few.
+    """
+
+    def celled(boxes: DataFrame, name: str) -> DataFrame:
+        rows = boxes.select([F.col(c).alias(f"{name}_{c}") for c in boxes.columns])
+        for axis, low, high in (("x", "left", "right"), ("y", "bottom", "top")):
+            rows = rows.withColumn(f"_{axis}", F.explode(F.sequence(F.floor(F.col(f"{name}_{low}") / cell), F.floor(F.col(f"{name}_{high}") / cell))))
+        return rows
+
+    def first(axis: str, low: str) -> Column:  # of the cells that two boxes share, the lowest counts
+        return F.col(f"_{axis}") == F.greatest(F.floor(F.col(f"a_{low}") / cell), F.floor(F.col(f"b_{low}") / cell))
+
+    return celled(a, "a").join(celled(b, "b"), ["_x", "_y"]).filter(first("x", "left") & first("y", "bottom")).drop("_x", "_y")
 
 
 def polygon_roles(polygons: DataFrame) -> DataFrame:

@@ -82,11 +82,27 @@ def design_table(pairs: DataFrame, acquisitions: DataFrame) -> DataFrame:
 
 
 def series(stack: DataFrame, network: Network, *pixel: str, value: str = "phase") -> DataFrame:
-    """(pixel, d): an array of the pairs' values in the network's order; null where a pair has none (or NaN)."""
+    """(pixel, d): an array of the pairs' values in the network's order; null where a pair has none (or NaN).
+
+    A pixel's rows meet in one shuffle, as places and values in any order, and are put in place by batches; where a pair comes more than once
+    at a pixel, the mean of its values counts.
+    """
     places = stack.sparkSession.createDataFrame(list(zip(network.names, range(len(network.pairs)), strict=True)), "pair_id string, _k int")
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    rows = stack.join(F.broadcast(places), "pair_id").groupBy(*pixel).agg(F.map_from_entries(F.collect_list(F.struct("_k", v.alias("v")))).alias("_m"))
-    return rows.select(*pixel, F.transform(F.sequence(F.lit(0), F.lit(len(network.pairs) - 1)), lambda k: F.try_element_at(F.col("_m"), k)).alias("d"))
+    rows = stack.join(F.broadcast(places), "pair_id").groupBy(*pixel).agg(F.collect_list(F.when(v.isNotNull(), F.struct("_k", v.alias("v")))).alias("_m"))
+    width = len(network.pairs)
+
+    def work(b: pa.RecordBatch) -> list[np.ndarray]:
+        lists = b.column("_m")
+        size = lists.value_lengths().to_numpy(zero_copy_only=False)
+        flat = lists.flatten()
+        k, v = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("_k", "v"))
+        at = k.astype(np.int64) * b.num_rows + np.repeat(np.arange(b.num_rows), size)
+        count = np.bincount(at, minlength=width * b.num_rows)
+        with np.errstate(invalid="ignore"):
+            return [(np.bincount(at, v, width * b.num_rows) / np.where(count, count, np.nan)).reshape(width, b.num_rows)]
+
+    return _per_batch(rows, pixel, ("d",), work)
 
 
 def solve(g: np.ndarray, d: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
@@ -193,6 +209,29 @@ def loop_arrays(loops: DataFrame, network: Network) -> tuple[np.ndarray, np.ndar
     return c, closing
 
 
+def closures(pixels: DataFrame, loops: DataFrame, network: Network, *pixel: str, d: str = "d") -> DataFrame:
+    """(loop_id, pixel, closure): the sum of a loop's edges less its closing pair; null where a pair has no value.
+
+    Sums are made inside the pixel's row, a batch at a time, so no row is multiplied before it is summed and nothing is shuffled.
+    """
+    place = {p: k for k, p in enumerate(network.pairs)}
+    day = {x: k for k, x in enumerate(network.dates)}
+    table = sorted({(r[0], tuple(r[1])) for r in loops.select("loop_id", "path").collect()})  # a row a loop of the network
+    edges = [[place[day[a], day[b]] for a, b in zip(path[:-1], path[1:], strict=True)] for _, path in table]
+    closing = [place[day[path[0]], day[path[-1]]] for _, path in table]
+
+    def work(b: pa.RecordBatch) -> list[np.ndarray]:
+        values = _rows(b, d, len(network.pairs))
+        out = np.empty((len(table), b.num_rows))
+        for k, (own, last) in enumerate(zip(edges, closing, strict=True)):
+            out[k] = values[own].sum(0) - values[last]
+        return [out]
+
+    names = F.lit([name for name, _ in table]) if table else F.array().cast("array<string>")
+    rows = _per_batch(pixels, pixel, ("_c",), work)
+    return rows.select(*pixel, F.inline(F.arrays_zip(names.alias("loop_id"), F.col("_c").alias("closure")))).select("loop_id", *pixel, "closure")
+
+
 def unwrap_errors(pixels: DataFrame, loops: DataFrame, network: Network, *pixel: str, d: str = "d") -> DataFrame:
     """(pixel, u): cycles of unwrapping error a pair, from loop closures; 0 on edges of the loops, not rounded.
 

@@ -12,6 +12,7 @@ from ..sources import formats as O
 from .registry import query
 
 _RC = {"row": "r", "col": "c"}
+_H = "(SELECT n FROM high)"
 
 
 def _named(spark, sf, text):
@@ -73,11 +74,15 @@ def side_car_baselines(spark, sf):
     return S.pair_baselines(net.select(path.alias("path")), lines).select("pair_id", "baseline")
 
 
-@query("SELECT * FROM (VALUES ('dem', '/l/a.geo.hgt.tif'), ('up', '/l/b.geo.U.tif'), ('east', NULL), ('north', NULL), ('baselines', '/l/baselines'), ('polygon', '/l/a-poly.txt')) AS t(kind, path)")
+@query(
+    "SELECT k.kind, (SELECT min(path) FROM files f WHERE regexp_matches(f.path, k.pattern)) AS path FROM (VALUES ('dem', '[.]hgt[.]tif$'), ('up', '[.]U[.]tif$'), ('east', '[.]E[.]tif$'), ('north', '[.]N[.]tif$'), ('baselines', '/baselines$'), ('polygon', '-poly[.]txt$')) AS k(kind, pattern)",
+    files="SELECT '/l/' || lower(replace(n_name, ' ', '_')) || CASE n_nationkey % 4 WHEN 0 THEN '.geo.hgt.tif' WHEN 1 THEN '.geo.U.tif' WHEN 2 THEN '-poly.txt' ELSE '/baselines' END AS path FROM nation",
+)
 def side_car_files(spark, sf):
-    names = ("/l/b.geo.hgt.tif", "/l/a.geo.hgt.tif", "/l/b.geo.U.tif", "/l/baselines", "/l/a-poly.txt", "/l/x.tif")
-    files = A.table(spark, sf, "region").limit(1).select(F.explode(F.array(*map(F.lit, names))).alias("path"))
-    return S.first_matches(files, S.LICSAR.sidecars)
+    """The first side-car of each kind among files that are named after nations."""
+    ends = [F.lit(x) for x in (".geo.hgt.tif", ".geo.U.tif", "-poly.txt", "/baselines")]
+    path = F.concat(F.lit("/l/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))), F.element_at(F.array(*ends), (F.col("n_nationkey") % 4 + 1).cast("int")))
+    return S.first_matches(A.table(spark, sf, "nation").select(path.alias("path")), S.LICSAR.sidecars)
 
 
 @query("SELECT page_id, split_part(split_part(url, '/', -1), '.', 1) AS product FROM pages")
@@ -85,32 +90,44 @@ def product_of_url(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", S.product_of_url(F.col("url")).alias("product"))
 
 
-@query("SELECT 'EPSG:32646' AS crs, CAST(80 AS DOUBLE) AS res, CAST(0 AS DOUBLE) AS nodata")
+@query(
+    "SELECT (SELECT crs FROM f WHERE valid AND crs IS NOT NULL ORDER BY path LIMIT 1) AS crs, (SELECT res FROM f WHERE valid AND res IS NOT NULL ORDER BY path LIMIT 1) AS res, (SELECT nodata FROM f WHERE valid AND nodata IS NOT NULL ORDER BY path LIMIT 1) AS nodata",
+    f="SELECT '/' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS path, s_suppkey % 4 = 3 AS valid, CASE WHEN s_suppkey % 3 = 1 THEN 'EPSG:' || (32600 + s_suppkey % 60) END AS crs, CAST(s_suppkey % 7 * 10 AS DOUBLE) AS res, CASE WHEN s_suppkey % 5 = 2 THEN CAST(-s_suppkey AS DOUBLE) END AS nodata FROM supplier",
+)
 def dataset_attributes(spark, sf):
-    """Attributes of the first readable files that have them."""
-    rows = [("/a", False, "EPSG:4326", 1.0, 9.0), ("/c", True, "EPSG:32646", 80.0, None), ("/d", True, "EPSG:32647", 40.0, 0.0), ("/b", True, None, 80.0, None)]
-    return S.attributes(spark.createDataFrame(rows, "path string, valid boolean, crs string, res double, nodata double"), "crs", "res", "nodata")
+    """Attributes of the first readable files that have them, of files that are named after suppliers."""
+    k = F.col("s_suppkey")
+    files = A.table(spark, sf, "supplier").select(
+        F.concat(F.lit("/"), F.lpad(k.cast("string"), 9, "0")).alias("path"), (k % 4 == 3).alias("valid"), F.when(k % 3 == 1, F.concat(F.lit("EPSG:"), (k % 60 + 32600).cast("string"))).alias("crs"),
+        (k % 7 * 10).cast("double").alias("res"), F.when(k % 5 == 2, -k.cast("double")).alias("nodata"),
+    )
+    return S.attributes(files, "crs", "res", "nodata")
 
 
-@query("SELECT * FROM (VALUES ('a', CAST(4 AS INTEGER), CAST(3 AS INTEGER), CAST(10 AS DOUBLE), CAST(21.5 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(-9999 AS DOUBLE))) AS t(path, width, height, \"left\", top, xres, nodata)")
+@query("SELECT n_name AS path, CAST(n_nationkey + 1 AS INTEGER) AS width, CAST(n_nationkey % 5 + 2 AS INTEGER) AS height, CAST(10 AS DOUBLE) - CASE WHEN n_nationkey % 2 = 1 THEN 0.25 ELSE 0 END AS \"left\", CAST(20 + 0.5 * (n_nationkey % 5 + 2) AS DOUBLE) AS top, CAST(0.5 AS DOUBLE) AS xres, CASE WHEN n_nationkey % 3 <> 0 THEN CAST(-9999 AS DOUBLE) END AS nodata FROM nation")
 def ascii_grid_header(spark, sf):
-    lines = ["ncols 4", "nrows  3", "xllcorner 10", "yllcorner 20", "cellsize 0.5", "NODATA_value -9999", "1 2 3 4"]
-    rows = spark.createDataFrame([("a", x) for x in lines], "path string, value string")
+    """Headers of grids that are named after nations: by corner or by centre, with and without nodata."""
+    k = F.col("n_nationkey")
+    lines = F.array(
+        F.concat(F.lit("ncols "), (k + 1).cast("string")), F.concat(F.lit("NROWS  "), (k % 5 + 2).cast("string")), F.when(k % 2 == 1, F.lit("xllcenter 10")).otherwise(F.lit("xllcorner 10")),
+        F.lit("yllcorner 20"), F.lit("cellsize 0.5"), F.when(k % 3 != 0, F.lit("NODATA_value -9999")), F.lit("1 2 3 4"),
+    )
+    rows = A.table(spark, sf, "nation").select(F.col("n_name").alias("path"), F.explode(F.array_compact(lines)).alias("value"))
     return O.ascii_header(rows).select("path", "width", "height", "left", "top", "xres", "nodata")
 
 
 def _cube(spark, sf):
-    """Three bands of the image's top rows."""
-    img = A.image(spark, sf).filter("row < 4")
+    """Three bands of the image."""
+    img = A.image(spark, sf)
     return img.select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("band"), "row", "col", "value").withColumn("value", F.col("value") * F.col("band"))
 
 
-_CUBE = "SELECT b.b AS band, r, c, value * b.b AS value FROM img CROSS JOIN (SELECT unnest([1, 2, 3]) AS b) b WHERE r < 4"
+_CUBE = "SELECT b.b AS band, r, c, value * b.b AS value FROM img CROSS JOIN (SELECT unnest([1, 2, 3]) AS b) b"
 
 
-@query("SELECT band, r, c, CAST(((band - 1) * 4 + r) * 16 + c AS BIGINT) AS bsq, CAST((r * 3 + band - 1) * 16 + c AS BIGINT) AS bil, CAST((r * 16 + c) * 3 + band - 1 AS BIGINT) AS bip FROM cube", cube=_CUBE)
+@query(f"SELECT band, r, c, CAST(((band - 1) * {_H} + r) * 16 + c AS BIGINT) AS bsq, CAST((r * 3 + band - 1) * 16 + c AS BIGINT) AS bil, CAST((r * 16 + c) * 3 + band - 1 AS BIGINT) AS bip FROM cube", cube=_CUBE)
 def cube_places(spark, sf):
-    return _cube(spark, sf).select("band", F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), *(R.cell_place(o, 3, 4, 16).cast("long").alias(o.lower()) for o in ("BSQ", "BIL", "BIP")))
+    return _cube(spark, sf).select("band", F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), *(R.cell_place(o, 3, A.image_grid(spark, sf).height, 16).cast("long").alias(o.lower()) for o in ("BSQ", "BIL", "BIP")))
 
 
 @query("SELECT band, r, c, value FROM cube WHERE band IN (1, 3)", cube=_CUBE)
@@ -123,27 +140,25 @@ def cube_shape(spark, sf):
     return R.shape(_cube(spark, sf), "band", "row", "col")
 
 
-@query("SELECT band, r, c, value FROM cube UNION ALL SELECT 4, r, c, value FROM img WHERE r < 4", cube=_CUBE)
+@query("SELECT band, r, c, value FROM cube UNION ALL SELECT 4, r, c, value FROM img", cube=_CUBE)
 def cube_with_band(spark, sf):
-    more = R.add_band(_cube(spark, sf), A.image(spark, sf).filter("row < 4").select("row", "col", "value"))
+    more = R.add_band(_cube(spark, sf), A.image(spark, sf).select("row", "col", "value"))
     return more.select("band", F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), "value")
 
 
 @query("SELECT band, r, c, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM cube", cube=_CUBE)
 def cube_round_trip(spark, sf):
     """A cube written as bytes, band interleaved by line, and read again."""
-    from ..functions.geo import Grid
-
-    grid = Grid(16, 4, 0.0, 4.0, 1.0, 1.0)
+    grid = A.image_grid(spark, sf)
     files = K.cube_bytes(_cube(spark, sf), grid, 3, "BIL").select(F.lit("x").alias("path"), "content")
     cells = O.cube_cells(files, grid, 3, "BIL").filter("value is not null")
     return cells.select("band", F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), "value")
 
 
-@query("SELECT r, c, CAST(c AS DOUBLE) + 0.5 AS lon, 16 - (CAST(r AS DOUBLE) + 0.5) AS lat FROM img WHERE 16 - (r + 0.5) BETWEEN 3 AND 9 AND c + 0.5 BETWEEN 2 AND 8")
+@query(f"SELECT r, c, CAST(c AS DOUBLE) + 0.5 AS lon, {_H} - (CAST(r AS DOUBLE) + 0.5) AS lat FROM img WHERE {_H} - (r + 0.5) BETWEEN 3 AND 9 AND c + 0.5 BETWEEN 2 AND 8")
 def cube_coordinates(spark, sf):
     """Selection of a cube by its coordinates."""
-    rows = K.with_coordinates(A.image(spark, sf), A.image_grid())
+    rows = K.with_coordinates(A.image(spark, sf), A.image_grid(spark, sf))
     return O.dimension_select(rows, lat=(3, 9), lon=(2, 8)).select(F.col("row").cast("long").alias("r"), F.col("col").cast("long").alias("c"), "lon", "lat")
 
 

@@ -202,8 +202,9 @@ def nsbas_residuals(spark, sf):
 @query("SELECT loop_id, r, c, round(2 * pi() * (e1 + e2 - e3), 4) + 0.0 AS closure FROM w", w="SELECT strftime(a.p, '%Y%m%d') || '_' || strftime(a.s, '%Y%m%d') || '_' || strftime(b.s, '%Y%m%d') AS loop_id, u.r, u.c, CASE WHEN a.j - a.i > 1 THEN (u.u + a.i + a.j) % 3 - 1 ELSE 0 END AS e1, CASE WHEN b.j - b.i > 1 THEN (u.u + b.i + b.j) % 3 - 1 ELSE 0 END AS e2, CASE WHEN c.j - c.i > 1 THEN (u.u + c.i + c.j) % 3 - 1 ELSE 0 END AS e3 FROM net a JOIN net b ON a.s = b.p JOIN net c ON c.p = a.p AND c.s = b.s CROSS JOIN (SELECT DISTINCT u, r, c FROM surf) u")
 def triplet_closures(spark, sf):
     """Closures of phases with whole cycles added; without them they are 0."""
-    matrix = L.loop_matrix(L.triplet_paths(L.triplets(A.event_network(spark, sf))))
-    return L.closure(matrix, A.with_cycles(A.stack(spark, sf)), "row", "col").select("loop_id", F.col("row").alias("r"), F.col("col").alias("c"), _r("closure", 4).alias("closure"))
+    net, pixels = _series(spark, sf, A.with_cycles(A.stack(spark, sf)))
+    found = I.closures(pixels, L.triplet_paths(L.triplets(A.event_network(spark, sf))), net, "row", "col")
+    return found.select("loop_id", F.col("row").alias("r"), F.col("col").alias("c"), _r("closure", 4).alias("closure"))
 
 
 @query("SELECT pair_id, r, c, CAST(CASE WHEN j - i > 1 THEN (u + i + j) % 3 - 1 ELSE 0 END AS DOUBLE) AS u FROM ifg")
@@ -256,9 +257,9 @@ def seasonal_amplitude(spark, sf):
     return A.stack(spark, sf).select("pair_id", F.col("row").alias("r"), F.col("col").alias("c"), _r(H.seasonal_amplitude(F.col("phase"), F.col("coh"))).alias("amplitude"))
 
 
-@query("SELECT a.pair_id AS a, b.pair_id AS b, round(covar_samp(a.phase, b.phase), 5) + 0.0 AS covariance FROM ifg a JOIN ifg b ON a.u = b.u WHERE a.u % 10 = 3 AND a.i < 8 AND b.i < 8 GROUP BY ALL")
+@query("SELECT a.pair_id AS a, b.pair_id AS b, round(covar_samp(a.phase, b.phase), 5) + 0.0 AS covariance FROM ifg a JOIN ifg b ON a.u = b.u WHERE a.u % 10 = 3 GROUP BY ALL")
 def reference_covariance(spark, sf):
-    rows = A.stack(spark, sf).filter("i < 8")
+    rows = A.stack(spark, sf)
     user = F.col("row") * A.COLUMNS + F.col("col")
     samples = rows.filter(user % 10 == 3).select("pair_id", user.alias("point_id"), F.col("phase").alias("value"))
     return R.sample_covariance(samples).select("a", "b", _r("covariance", 5).alias("covariance"))

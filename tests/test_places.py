@@ -190,3 +190,20 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q = new.writeStream.format("memory").queryName("scenes").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "e")).start()
     q.awaitTermination(120)
     assert spark.table("scenes").count() == 2
+
+
+def test_series_takes_the_mean_of_repeated_rows(spark):
+    """A pair that comes twice at a pixel, a missing value, and a pixel without any."""
+    days = [date(2024, 1, k) for k in (1, 13, 25)]
+    net = inversion.Network(tuple(days), ((0, 1), (0, 2), (1, 2)))
+    rows = [(net.names[0], 0, 0, 1.0), (net.names[0], 0, 0, 3.0), (net.names[1], 0, 0, None), (net.names[2], 0, 0, 5.0), (net.names[1], 0, 1, float("nan"))]
+    got = inversion.series(spark.createDataFrame(rows, "pair_id string, row int, col int, phase double"), net, "row", "col").orderBy("col").collect()
+    assert [r["d"] for r in got] == [[2.0, None, 5.0], [None, None, None]]
+
+
+def test_plans_have_no_nested_loops(spark):
+    from stackwave.queries import QUERIES
+
+    for name in ("stack_point_samples", "polygon_pixels", "composite_query", "triplet_closures", "box_predicates", "regrid_nearest", "regrid_bilinear"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name

@@ -8,7 +8,7 @@ from stackwave.queries import QUERIES, SQL
 
 from .compare import connection, differences
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, con, name):
-    found = [d for d in differences(QUERIES[name](spark, SF), SQL[name], con) if d != "no rows"]
+    found = differences(QUERIES[name](spark, SF), SQL[name], con)
+    if found == ["no rows"]:  # the smallest tables have no pixel there
+        found = differences(QUERIES[name](spark, LARGER), SQL[name], connection(LARGER))
     assert not found, found
 
 
