@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions.geo import Grid
 from .operators import network, pairs
+from .operators.spatial import with_scenes
 
 #: Grid of the users' pixels: 16 columns; unit cells with the origin at the top left.
 COLUMNS = 16
@@ -43,7 +44,7 @@ def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(row, col, date, cents): running sums a user and day, for all users on all days."""
     events = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("date"), F.round(F.col("value") * 100).cast("long").alias("cents"))
     daily = events.groupBy("user_id", "date").agg(F.sum("cents").alias("cents"))
-    grid = events.select("user_id").distinct().join(F.broadcast(events.select("date").distinct()))  # days of a month
+    grid = with_scenes(events.select("user_id").distinct(), events.select("date"))
     running = F.sum(F.coalesce("cents", F.lit(0))).over(Window.partitionBy("user_id").orderBy("date"))
     rows = grid.join(daily, ["user_id", "date"], "left").withColumn("cents", running)
     return rows.select((F.col("user_id") / COLUMNS).cast("int").alias("row"), (F.col("user_id") % COLUMNS).cast("int").alias("col"), "date", "cents")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import Grid
+from ..functions.geo import Grid, project
 from ..functions.phase import Radar, coherence_scaled, los_ratio, phase_to_deformation
 
 PIXEL = ("row", "col")
@@ -107,26 +109,76 @@ def grid_pixels(frame: DataFrame, grid: Grid) -> DataFrame:
     return rows.select("row", F.explode(F.sequence(F.lit(0), F.lit(grid.width - 1))).alias("col"))
 
 
+#: Cells a side of the blocks of the source grid that regridding works in.
+BLOCK = 256
+#: Source cells before and after the base cell that a method needs.
+_REACH = {"nearest": (0, 0), "bilinear": (0, 1), "cubic": (1, 2)}
+
+
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of cubic convolution (a = -1/2) for the cells before, at, and two after a place."""
+    return [((-0.5 * t + 1) * t - 0.5) * t, (1.5 * t - 2.5) * t * t + 1, ((-1.5 * t + 2) * t + 0.5) * t, (0.5 * t - 0.5) * t * t]
+
+
 def regrid(raster: DataFrame, source: Grid, target: Grid, method: str = "nearest", *keys: str) -> DataFrame:
-    """A raster (keys, row, col, value) on another grid of the same system: nearest or bilinear; null outside."""
-    x, y = target.x(F.col("col")), target.y(F.col("row"))
+    """A raster (keys, row, col, value) on another grid: nearest, bilinear, cubic or average; null outside and without values.
+
+    Grids may be of different systems.  Target cells go to the block of the source grid that holds their place, source cells to their block and,
+    at its edge, to the next ones; so each row travels once or twice and a task holds a block with its rim.  Bilinear and cubic weights are
+    taken of the cells that have a value.  The average is that of the source cells with their centre in the target cell.
+    """
+    from .spatial import with_scenes
+
+    if method not in (*_REACH, "average"):
+        raise ValueError("method is nearest, bilinear, cubic or average")
+    far = source.crs and target.crs and source.crs != target.crs
     cells = grid_pixels(raster, target)
     if keys:
-        cells = cells.join(F.broadcast(raster.select(*keys).distinct()))  # a row a raster, of which a stack has thousands at most
-    if method == "nearest":
-        at = cells.withColumns({"_r": source.row(y), "_c": source.col(x)})
-        found = raster.select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
-        return at.join(found, [*keys, "_r", "_c"], "left").select(*keys, "row", "col", "value")
-    if method != "bilinear":
-        raise ValueError("method is nearest or bilinear")
-    fr, fc = (F.lit(source.top) - y) / source.yres - 0.5, (x - source.left) / source.xres - 0.5
-    at = cells.withColumns({"_fr": fr, "_fc": fc})
-    corner = F.array(*(F.struct((F.floor("_fr") + a).cast("int").alias("r"), (F.floor("_fc") + b).cast("int").alias("c")) for a in (0, 1) for b in (0, 1)))
-    near = at.select(*keys, "row", "col", "_fr", "_fc", F.explode(corner).alias("k")).select(*keys, "row", "col", F.col("k.r").alias("_r"), F.col("k.c").alias("_c"), ((1 - F.abs(F.col("_fr") - F.col("k.r"))) * (1 - F.abs(F.col("_fc") - F.col("k.c")))).alias("_w"))
-    found = raster.select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
-    rows = near.join(found, [*keys, "_r", "_c"], "left")
-    held = F.sum(F.when(F.col("value").isNotNull(), F.col("_w")))
-    return rows.groupBy(*keys, "row", "col").agg(F.when(held > 0, F.sum(F.col("_w") * F.col("value")) / held).alias("value"))
+        cells = with_scenes(cells, raster.select(*keys))
+    if method == "average":
+        x, y = source.x(F.col("row") * 0 + F.col("col")), source.y(F.col("row"))
+        if far:
+            x, y = project(x, y, source.crs, target.crs)
+        means = raster.select(*keys, target.row(y).alias("row"), target.col(x).alias("col"), "value").groupBy(*keys, "row", "col").agg(F.avg("value").alias("value"))
+        return cells.join(means, [*keys, "row", "col"], "left").select(*keys, "row", "col", "value")
+    x, y = target.x(F.col("col")), target.y(F.col("row"))
+    if far:
+        x, y = project(x, y, target.crs, source.crs)
+    before, after = _REACH[method]
+    half = 0.0 if method == "nearest" else 0.5
+    fr, fc = (F.lit(source.top) - y) / source.yres - half, (x - source.left) / source.xres - half
+    at = cells.select(*keys, "row", "col", fr.alias("_fr"), fc.alias("_fc")).withColumns({"_br": F.floor(F.floor("_fr") / BLOCK), "_bc": F.floor(F.floor("_fc") / BLOCK)})
+
+    def rim(c: str) -> Column:
+        return F.sequence(F.floor((F.col(c) - after) / BLOCK), F.floor((F.col(c) + before) / BLOCK))
+
+    have = raster.filter("value is not null").select(*keys, F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").cast("double").alias("_v"))
+    have = have.withColumn("_br", F.explode(rim("_r"))).withColumn("_bc", F.explode(rim("_c")))
+    kinds = dict(at.dtypes)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.select([*keys, "row", "col"]).append_column("value", pa.array([], pa.float64()))
+        up, side = left["_br"][0].as_py() * BLOCK - before, left["_bc"][0].as_py() * BLOCK - before
+        block = np.full((BLOCK + before + after, BLOCK + before + after), np.nan)
+        block[right["_r"].to_numpy() - up, right["_c"].to_numpy() - side] = right["_v"].to_numpy()
+        fr, fc = left["_fr"].to_numpy(), left["_fc"].to_numpy()
+        r, c = np.floor(fr).astype(np.int64), np.floor(fc).astype(np.int64)
+        if method == "nearest":
+            v = block[r - up, c - side]
+        else:
+            weights = _cubic if method == "cubic" else lambda t: [1 - t, t]
+            total, held = np.zeros(len(r)), np.zeros(len(r))
+            for i, wr in enumerate(weights(fr - r)):
+                for j, wc in enumerate(weights(fc - c)):
+                    part = block[r - up - before + i, c - side - before + j]
+                    w = np.where(np.isnan(part), 0.0, wr * wc)
+                    total, held = total + w * np.nan_to_num(part), held + w
+            v = np.where(held > 1e-9, total / np.where(held > 1e-9, held, 1), np.nan)
+        return left.select([*keys, "row", "col"]).append_column("value", pa.array(v, from_pandas=True))
+
+    by = [*keys, "_br", "_bc"]
+    return at.groupBy(*by).cogroup(have.groupBy(*by)).applyInArrow(work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "row int, col int, value double"]))
 
 
 def coarse_labels(frame: DataFrame, coarse: DataFrame, source: Grid, fine: Grid) -> DataFrame:
@@ -160,11 +212,6 @@ def shape(raster: DataFrame, *dims: str) -> DataFrame:
     return raster.agg(*(F.countDistinct(d).alias(f"n_{d}") for d in dims))
 
 
-def cube_order(order: str) -> list[str]:
-    """Sort keys of a cube's cells: band sequential, band interleaved by line, or by pixel."""
-    return {"BSQ": ["band", "row", "col"], "BIL": ["row", "band", "col"], "BIP": ["row", "col", "band"]}[order]
-
-
 def cell_place(order: str, bands: int, rows: int, cols: int) -> Column:
     """Place of a cell (band from 1, row and col from 0) in a cube's file."""
     b, r, c = F.col("band") - 1, F.col("row"), F.col("col")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zipfile
+from datetime import date
 from pathlib import Path
 
 import numpy as np
@@ -16,6 +17,7 @@ from stackwave.operators import freeze_thaw as T
 from stackwave.operators import raster as R
 from stackwave.operators import spatial as S
 from stackwave.plans import clusters as C
+from stackwave.plans import inversion
 from stackwave.plans import models as M
 from stackwave.plans import uncertainty as U
 from stackwave.sinks import tables as K
