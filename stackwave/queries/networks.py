@@ -291,3 +291,21 @@ def loop_valid_diagonals(spark, sf):
 def sbas_matrix(spark, sf):
     net = A.event_network(spark, sf)
     return I.design_table(net, P.acquisitions(net)).select("pair_id", F.col("interval").cast("int").alias("interval"))
+
+
+_OTRI = "SELECT strftime(a.p, '%Y%m%d') || '_' || strftime(a.s, '%Y%m%d') || '_' || strftime(b.s, '%Y%m%d') AS loop_id, a.p AS d1, a.s AS d2, b.s AS d3 FROM onet a JOIN onet b ON a.s = b.p JOIN onet c ON c.p = a.p AND c.s = b.s"
+
+
+@query("SELECT loop_id FROM otri WHERE (SELECT d FROM ork WHERE k = 40) IN (d1, d2, d3)", otri=_OTRI)
+def triplets_touching_date(spark, sf):
+    """Triplets with the forty-first acquisition among their dates."""
+    day = A.order_days(spark, sf).orderBy("date").offset(40).first()[0]
+    return L.paths_touching(L.triplet_paths(L.triplets(A.order_network(spark, sf))), "path", str(day)).select("loop_id")
+
+
+@query("SELECT DISTINCT d1, d2, d3 FROM otri", otri=_OTRI)
+def triplets_from_names(spark, sf):
+    """Triplets from names that put the dates in another order."""
+    rows = L.triplets(A.order_network(spark, sf))
+    day = lambda c: F.date_format(c, "yyyyMMdd")
+    return L.triplets_from_names(rows.select(F.concat_ws("_", day("d3"), day("d1"), day("d2")).alias("name")))

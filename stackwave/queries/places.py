@@ -8,6 +8,7 @@ from .. import adapters as A
 from ..functions import geo as G
 from ..operators import raster as R
 from ..operators import spatial as S
+from ..sinks import tables as K
 from .registry import query
 
 _RC = {"row": "r", "col": "c"}
@@ -247,3 +248,14 @@ def utm_round_trip(spark, sf):
     x, y = G.project(F.col("e"), F.col("n"), "EPSG:32632", "EPSG:4326")
     return rows.select("point_id", (F.round((x - 7) * 4, 6) + 0.0).alias("x"), (F.round(y, 6) + 0.0).alias("y"))
 
+
+
+@query("SELECT k, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || ', ' || x0 || ' ' || y1 || ', ' || x0 || ' ' || y0 || '))' AS box, 'POLYGON ((' || x0 || ' ' || y0 || ', ' || x1 || ' ' || y0 || ', ' || x1 || ' ' || y1 || '))' AS ring FROM boxes", boxes=_BOXES)
+def box_texts(spark, sf):
+    """Boxes and rings as well-known text."""
+    k = F.col("s_suppkey")
+    x, y = (k + k % 7) / 2, (k % 5).cast("double")
+    b = A.table(spark, sf, "supplier").select(k.alias("k"), x.alias("x0"), y.alias("y0"), (x + 2 + k % 3).alias("x1"), (y + 3 + k % 4).alias("y1"))
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(F.array(point("x0", "y0"), point("x1", "y0"), point("x1", "y1")))
+    return b.select("k", K.box_wkt(*(F.col(c) for c in ("x0", "y0", "x1", "y1"))).alias("box"), K.ring_wkt(ring).alias("ring"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..functions.geo import Box
 from ..operators import raster as R
+from ..sinks import geotiff as W
+from ..sinks import netcdf as N
 from ..sinks import tables as K
 from ..sources import catalog as S
+from ..sources import geotiff as T
+from ..sources import netcdf as C
 from ..sources import formats as O
 from .registry import query
 
@@ -193,3 +200,84 @@ def baseline_lines(spark, sf):
 @query("SELECT round(min(value) - stddev_samp(value) / 3, 6) + 0.0 AS low, round(max(value) + stddev_samp(value) / 3, 6) + 0.0 AS high FROM base", base=_BASE)
 def baseline_limits(spark, sf):
     return K.baseline_plot_limits(_baselines(spark, sf)).select((F.round("low", 6) + 0.0).alias("low"), (F.round("high", 6) + 0.0).alias("high"))
+
+
+def _scenes(spark, sf):
+    """Interferograms of neighbouring days, with missing phases, as rasters."""
+    rows = A.with_missing(A.stack(spark, sf, 1))
+    return rows.select("pair_id", "row", "col", F.col("phase").alias("value"))
+
+
+_SCENES = "SELECT pair_id, r, c, CAST(CAST(phase AS FLOAT) AS DOUBLE) AS value FROM gaps WHERE j - i = 1"
+
+
+def _tiffs(spark, sf):
+    grid = replace(A.image_grid(spark, sf), crs="EPSG:32646")
+    return grid, W.tiff_bytes(_scenes(spark, sf), grid, "pair_id", nodata=-9999.0).select(F.col("pair_id").alias("path"), "content")
+
+
+@query("SELECT pair_id, r, c, value FROM scenes WHERE value IS NOT NULL", scenes=_SCENES)
+def tiff_round_trip(spark, sf):
+    """Every scene as a tiled, deflated GeoTIFF, and read again."""
+    _, files = _tiffs(spark, sf)
+    return T.cells(files).filter("value is not null").select(F.col("path").alias("pair_id"), F.col("row").alias("r"), F.col("col").alias("c"), "value")
+
+
+@query(f"SELECT pair_id, CAST(r - ({_H} - 12) AS INTEGER) AS r, c - 2 AS c, value FROM scenes WHERE r BETWEEN {_H} - 12 AND {_H} - 1 AND c BETWEEN 2 AND 12 AND value IS NOT NULL", scenes=_SCENES)
+def tiff_window(spark, sf):
+    """A window of every file; only the blocks that it meets are decoded."""
+    _, files = _tiffs(spark, sf)
+    return T.cells(files, Box(2.0, 0.0, 13.0, 12.0)).filter("value is not null").select(F.col("path").alias("pair_id"), F.col("row").alias("r"), F.col("col").alias("c"), "value")
+
+
+@query(f"SELECT pair_id, true AS valid, CAST(16 AS INTEGER) AS width, CAST({_H} AS INTEGER) AS height, CAST(1 AS INTEGER) AS bands, 'EPSG:32646' AS crs, CAST(-9999 AS DOUBLE) AS nodata, CAST({_H} AS DOUBLE) AS top FROM net WHERE j - i = 1")
+def tiff_headers(spark, sf):
+    """What the files' headers say of grid, system and nodata."""
+    _, files = _tiffs(spark, sf)
+    return T.headers(files).select(F.col("path").alias("pair_id"), "valid", "width", "height", "bands", "crs", "nodata", "top")
+
+
+@query(f"SELECT pair_id, CAST(r // 2 AS INTEGER) AS r, CAST(c // 2 AS INTEGER) AS c, round(avg(value), 3) + 0.0 AS value FROM scenes GROUP BY ALL HAVING avg(value) IS NOT NULL", scenes=_SCENES)
+def tiff_warped(spark, sf):
+    """The files on a grid of cells twice as wide and high, as means."""
+    grid, files = _tiffs(spark, sf)
+    target = replace(grid, width=8, height=-(-grid.height // 2), xres=2.0, yres=2.0)
+    return T.warped(files, target, "average").filter("value is not null").select(F.col("path").alias("pair_id"), F.col("row").alias("r"), F.col("col").alias("c"), (F.round("value", 3) + 0.0).alias("value"))
+
+
+@query("SELECT r, c, count(phase) FILTER (WHERE j - i = 1) > 0 AS valid FROM gaps GROUP BY r, c HAVING c >= 4")
+def mask_of_file(spark, sf):
+    """A mask written as a raster of bytes and read again, for the columns from 4 on."""
+    grid = A.image_grid(spark, sf)
+    known = R.valid_mask(_scenes(spark, sf), value="value").withColumn("value", F.col("valid").cast("double"))
+    files = W.tiff_bytes(known, grid, dtype="uint8", nodata=255).select(F.lit("mask").alias("path"), "content")
+    found = T.mask(files, grid, Box(4.0, 0.0, 16.0, float(grid.height))).withColumn("col", F.col("col") + 4)
+    cells = known.select("row", "col")
+    return found.join(cells, ["row", "col"], "left_semi").select(F.col("row").alias("r"), F.col("col").alias("c"), "valid")
+
+
+_DIMS = {"pair_id": "string", "lat": "double", "lon": "double"}
+
+
+def _cubes(spark, sf):
+    return N.netcdf_bytes(_scenes(spark, sf), A.image_grid(spark, sf), "phase", per_file=8).select(F.concat(F.lit("part"), F.col("part").cast("string")).alias("path"), "content")
+
+
+@query("SELECT pair_id, r, c, value FROM scenes WHERE value IS NOT NULL", scenes=_SCENES)
+def netcdf_round_trip(spark, sf):
+    """Every scene as a record of a netCDF cube of several files, and read again by coordinates."""
+    grid = A.image_grid(spark, sf)
+    rows = C.cells(_cubes(spark, sf), "phase", _DIMS).filter("value is not null")
+    return rows.select("pair_id", grid.row(F.col("lat")).alias("r"), grid.col(F.col("lon")).alias("c"), "value")
+
+
+@query(f"SELECT pair_id, {_H} - (CAST(r AS DOUBLE) + 0.5) AS lat, CAST(c AS DOUBLE) + 0.5 AS lon, value FROM scenes WHERE {_H} - (r + 0.5) BETWEEN 2 AND 9 AND c + 0.5 BETWEEN 3 AND 11 AND value IS NOT NULL", scenes=_SCENES)
+def netcdf_selection(spark, sf):
+    """A box of the cubes by the labels of their dimensions, chosen before values are read."""
+    return C.cells(_cubes(spark, sf), "phase", _DIMS, lat=(2.0, 9.0), lon=(3.0, 11.0)).filter("value is not null").select("pair_id", "lat", "lon", "value")
+
+
+@query("SELECT path, count(*) AS scenes FROM (SELECT 'part' || ((row_number() OVER (ORDER BY pair_id) - 1) // 8) AS path FROM net WHERE j - i = 1) GROUP BY path")
+def netcdf_variables(spark, sf):
+    """The number of records of each file of the cube."""
+    return C.variables(_cubes(spark, sf)).filter("variable = 'phase'").select("path", F.col("shape")[0].alias("scenes"))

@@ -18,6 +18,7 @@ from ..plans import clusters as C
 from ..plans import inversion as I
 from ..plans import models as M
 from ..plans import uncertainty as U
+from ..streaming import incremental as X
 from .registry import SQL, query
 
 _RC = {"row": "r", "col": "c"}
@@ -190,13 +191,18 @@ _model_query("nsbas_linear", M.LINEAR)
 _model_query("nsbas_quadratic", M.QUADRATIC)
 
 
-@query()
+_NET = _days()
+_LINEAR = I.nsbas(_NET, M.LINEAR, gamma=1e-2)
+_MISFIT = (np.eye(len(_LINEAR.g)) - _LINEAR.g @ np.linalg.pinv(_LINEAR.g, rcond=1e-14))[:, : _LINEAR.pairs]
+
+
+@query("SELECT r, c, round(max(abs(x)) FILTER (k < " + str(_LINEAR.pairs) + "), 5) + 0.0 AS residual_pair, round(max(abs(x)) FILTER (k >= " + str(_LINEAR.pairs) + "), 4) + 0.0 AS residual_model FROM (SELECT r, c, m.k, sum(phase * m.value) AS x FROM ifg JOIN m USING (pair_id) GROUP BY ALL) GROUP BY r, c", m=_values(_MISFIT, _NET.names, "k"))
 def nsbas_residuals(spark, sf):
-    """Largest residuals of the pairs and of the model rows, a pixel; a numerical invariant, checked by the tests."""
-    net, pixels = _series(spark, sf, A.with_missing(A.stack(spark, sf)))
-    solved = I.invert(pixels, I.nsbas(net, M.LINEAR), "row", "col")
+    """Largest residuals of the pairs and of the model rows, a pixel: what the projection off the design's columns leaves."""
+    net, pixels = _series(spark, sf, A.stack(spark, sf))
+    solved = I.invert(pixels, I.nsbas(net, M.LINEAR, gamma=1e-2), "row", "col")
     largest = lambda c: F.array_max(F.transform(F.filter(c, lambda x: x.isNotNull()), F.abs))
-    return solved.select("row", "col", largest("residual_pair").alias("residual_pair"), largest("residual_model").alias("residual_model"))
+    return solved.select(F.col("row").alias("r"), F.col("col").alias("c"), _r(largest("residual_pair"), 5).alias("residual_pair"), _r(largest("residual_model"), 4).alias("residual_model"))
 
 
 @query("SELECT loop_id, r, c, round(2 * pi() * (e1 + e2 - e3), 4) + 0.0 AS closure FROM w", w="SELECT strftime(a.p, '%Y%m%d') || '_' || strftime(a.s, '%Y%m%d') || '_' || strftime(b.s, '%Y%m%d') AS loop_id, u.r, u.c, CASE WHEN a.j - a.i > 1 THEN (u.u + a.i + a.j) % 3 - 1 ELSE 0 END AS e1, CASE WHEN b.j - b.i > 1 THEN (u.u + b.i + b.j) % 3 - 1 ELSE 0 END AS e2, CASE WHEN c.j - c.i > 1 THEN (u.u + c.i + c.j) % 3 - 1 ELSE 0 END AS e3 FROM net a JOIN net b ON a.s = b.p JOIN net c ON c.p = a.p AND c.s = b.s CROSS JOIN (SELECT DISTINCT u, r, c FROM surf) u")
@@ -284,7 +290,6 @@ def variance_sum(spark, sf):
     return U.add(a, b, "pair_id", "row", "col").select("pair_id", F.col("row").alias("r"), F.col("col").alias("c"), _r("variance").alias("variance"))
 
 
-_NET = _days()
 _SQUARE = U.gain(_NET.matrix()) ** 2
 
 
@@ -314,11 +319,35 @@ def variance_common(spark, sf):
     return rows.select(F.col("row").alias("r"), F.col("col").alias("c"), "parameter", _r("variance").alias("variance"))
 
 
-@query()
+def _weighted() -> np.ndarray:
+    """Variances of the increments for each of the 101 patterns of coherence that users have, from the normal equations."""
+    g, out = _NET.matrix(), []
+    for k in range(101):
+        v = np.array([(k * 7 + i * 3 + j * 5) % 101 / 100 + 0.5 for i, j in _NET.pairs])
+        out.append(np.diag(np.linalg.inv(g.T @ (g / v[:, None]))))
+    return np.array(out).T
+
+
+@query("SELECT r, c, m.k AS parameter, round(m.value, 6) + 0.0 AS variance FROM (SELECT DISTINCT u, r, c FROM surf) JOIN m ON CAST(m.pair_id AS BIGINT) = u % 101", m=_values(_weighted(), [str(k) for k in range(101)], "k"))
 def variance_weighted(spark, sf):
-    """Each pixel with its own weights; no SQL, as every pixel has an inverse of its own."""
+    """Each pixel with its own weights."""
+    net, pixels = _series(spark, sf, _variances(A.stack(spark, sf)).withColumn("phase", F.col("variance")))
+    rows = U.parameters_weighted(pixels.withColumnRenamed("d", "variance"), net.matrix(), "row", "col")
+    return rows.select(F.col("row").alias("r"), F.col("col").alias("c"), F.posexplode("variance").alias("parameter", "v")).select("r", "c", "parameter", _r("v").alias("variance"))
+
+
+_SUMS = U.gain(_NET.matrix()).sum(1)[:, None] ** 2
+
+
+@query("SELECT r, c, s.k AS parameter, round(v + s.value / 4, 6) + 0.0 AS variance FROM (SELECT r, c, m.k, sum((coh + 0.5) * m.value) AS v FROM ifg JOIN m USING (pair_id) GROUP BY ALL) x JOIN s ON s.k = x.k", m=_values(_SQUARE, _NET.names, "k"), s="SELECT k, value FROM (" + ", ".join(["SELECT * FROM (VALUES " + ", ".join(f"({k}, CAST({float(v)!r} AS DOUBLE))" for k, v in enumerate(_SUMS[:, 0])) + ") AS t(k, value)"]) + ")")
+def variance_of_covariance(spark, sf):
+    """Pixels with a covariance matrix each: their variances, and 1/4 that all pairs have in common."""
     net, pixels = _series(spark, sf, _variances(A.stack(spark, sf)).withColumn("phase", F.col("variance")))
-    return U.parameters_weighted(pixels.withColumnRenamed("d", "variance"), net.matrix(), "row", "col")
+    n = len(net.pairs)
+    row = lambda v, i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(j == i, v + 0.25).otherwise(F.lit(0.25)))
+    full = pixels.select("row", "col", F.flatten(F.transform("d", row)).alias("covariance"))
+    rows = U.parameters_of_covariance(full, net.matrix(), "row", "col")
+    return rows.select(F.col("row").alias("r"), F.col("col").alias("c"), F.posexplode("variance").alias("parameter", "v")).select("r", "c", "parameter", _r("v").alias("variance"))
 
 
 @query()
@@ -328,3 +357,19 @@ def temperature_clusters(spark, sf):
     index = rows.select("row", "col", (F.col("a") / 100).alias("ti"), (F.col("b") / 100).alias("fi"))
     return C.temperature_clusters(index, 5000.0, "row", "col")
 
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS DATE) AS d, count(*) AS n, CAST(sum(CASE WHEN CAST(round(value * 100) AS BIGINT) % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_missing FROM events GROUP BY 1")
+def windows_of_arrivals(spark, sf):
+    """Daily windows of arriving pixels and how many have no value; the same plan runs on a stream."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    rows = A.table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("seen"), F.when(cents % 7 != 0, F.col("value")).alias("phase"))
+    return X.windowed_missing(rows).select(F.to_date("start").alias("d"), "n", "n_missing")
+
+
+@query("SELECT r, c, round(regr_slope(CAST(cents AS DOUBLE) / 100, CAST(k AS DOUBLE)), 4) + 0.0 AS velocity, round(regr_intercept(CAST(cents AS DOUBLE) / 100, CAST(k AS DOUBLE)), 4) + 0.0 AS constant FROM surf GROUP BY r, c")
+def running_lines(spark, sf):
+    """Lines from running sums, which add up over the batches of a stream."""
+    days = P.indexed(A.event_days(spark, sf), "date")
+    rows = A.surface(spark, sf).join(F.broadcast(days), "date").select("row", "col", F.col("idx").cast("double").alias("span"), (F.col("cents") / 100).alias("value"))
+    return X.line_of_sums(X.line_sums(rows, "row", "col"), "row", "col").select(F.col("row").alias("r"), F.col("col").alias("c"), _r("velocity", 4).alias("velocity"), _r("constant", 4).alias("constant"))

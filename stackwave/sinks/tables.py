@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import Grid
-from ..operators.raster import cell_place
 
 
 def write_scenes(stack: DataFrame, path: str, key: str = "pair_id") -> None:
@@ -55,23 +54,41 @@ def encoded_days(date: Column, since: str = "2000-01-01") -> Column:
     return F.datediff(date, F.lit(since).cast("date"))
 
 
+def with_dtype(rows: DataFrame, dtype: str, value: str = "value") -> DataFrame:
+    """Values of a dataset's kind; rows that have it already stay as they are."""
+    kind = {"float32": "float", "float64": "double", "int8": "tinyint", "int16": "smallint", "int32": "int", "int64": "bigint", "uint8": "smallint", "uint16": "int", "uint32": "bigint"}[np.dtype(dtype).name]
+    return rows if dict(rows.dtypes)[value] == kind else rows.withColumn(value, F.col(value).cast(kind))
+
+
 def cube_bytes(cube: DataFrame, grid: Grid, bands: int, order: str = "BSQ", dtype: str = "float32", *keys: str) -> DataFrame:
-    """(keys, content): binary cubes, a row each; rows come sorted by their place in the file."""
-    n = bands * grid.height * grid.width
+    """(keys, content): binary cubes, a row each.
+
+    A task fills a line of a band, and a second step puts the lines in their places, so what meets in one task is a cube's bytes and not its cells.
+    """
     fill, kind = nodata_value(dtype), np.dtype(dtype)
-    placed = cube.select(*keys, cell_place(order, bands, grid.height, grid.width).cast("long").alias("_at"), F.col("value").cast("double").alias("_v"))
+    placed = cube.select(*keys, F.col("band").cast("int").alias("_b"), F.col("row").cast("int").alias("_r"), F.col("col").cast("int").alias("_c"), F.col("value").cast("double").alias("_v"))
     kinds = dict(cube.dtypes)
 
-    def run(table: pa.Table) -> pa.Table:
-        out = np.full(n, fill, kind)
+    def line(table: pa.Table) -> pa.Table:
+        out = np.full(grid.width, fill, kind)
         v = table["_v"].to_numpy()
         fine = ~np.isnan(v)
-        out[table["_at"].to_numpy()[fine]] = v[fine].astype(kind)
-        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "content": pa.array([out.tobytes()], pa.binary())})
+        out[table["_c"].to_numpy()[fine]] = v[fine].astype(kind)
+        return pa.table({**{k: table[k].slice(0, 1) for k in (*keys, "_b", "_r")}, "_line": pa.array([out.tobytes()], pa.binary())})
+
+    def whole(table: pa.Table) -> pa.Table:
+        shape = {"b": bands, "r": grid.height, "c": grid.width}
+        out = np.full([shape[a] for a in "brc"], fill, kind)
+        for b, r, data in zip(table["_b"].to_pylist(), table["_r"].to_pylist(), table["_line"].to_pylist(), strict=True):
+            out[b - 1, r] = np.frombuffer(data, kind)
+        axes = {"BSQ": (0, 1, 2), "BIL": (1, 0, 2), "BIP": (1, 2, 0)}[order]
+        return pa.table({**{k: table[k].slice(0, 1) for k in keys}, "content": pa.array([out.transpose(axes).tobytes()], pa.binary())})
 
     if not keys:
         placed, keys, kinds = placed.withColumn("_one", F.lit(0)), ("_one",), {"_one": "int"}
-    return placed.groupBy(*keys).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "content binary"]))
+    heads = [f"`{k}` {kinds[k]}" for k in keys]
+    lines = placed.groupBy(*keys, "_b", "_r").applyInArrow(line, ", ".join([*heads, "_b int, _r int, _line binary"]))
+    return lines.groupBy(*keys).applyInArrow(whole, ", ".join([*heads, "content binary"]))
 
 
 def ring_wkt(rings: Column) -> Column:
@@ -89,35 +106,6 @@ def box_wkt(left: Column, bottom: Column, right: Column, top: Column) -> Column:
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *(F.concat_ws(" ", x, y) for x, y in ((l, b), (r, b), (r, t), (l, t), (l, b)))), F.lit("))"))
 
 
-def write_tiff(array: np.ndarray, path: str, grid: Grid) -> None:
-    """A float32 GeoTIFF of one bounded (rows, cols) or (bands, rows, cols) array, uncompressed."""
-    cube = np.atleast_3d(array) if array.ndim == 3 else array[None]
-    bands, height, width = cube.shape
-    data = np.ascontiguousarray(cube.astype("<f4")).tobytes()
-    entries: list[tuple[int, int, int, bytes]] = []
-
-    def add(tag: int, kind: int, values: list, code: str) -> None:
-        entries.append((tag, kind, len(values), struct.pack(f"<{len(values)}{code}", *values)))
-
-    plane = height * width * 4
-    start = 8
-    add(256, 4, [width], "I"), add(257, 4, [height], "I"), add(258, 3, [32] * bands, "H"), add(259, 3, [1], "H"), add(262, 3, [1], "H")
-    add(273, 4, [start + plane * k for k in range(bands)], "I"), add(277, 3, [bands], "H"), add(278, 4, [height], "I"), add(279, 4, [plane] * bands, "I")
-    add(284, 3, [2 if bands > 1 else 1], "H"), add(339, 3, [3] * bands, "H")
-    add(33550, 12, [grid.xres, grid.yres, 0.0], "d"), add(33922, 12, [0.0, 0.0, 0.0, grid.left, grid.top, 0.0], "d")
-    body, table = b"", b""
-    at = start + len(data)
-    offset = at + 2 + 12 * len(entries) + 4
-    for tag, kind, count, raw in sorted(entries):
-        if len(raw) <= 4:
-            field = raw.ljust(4, b"\0")
-        else:
-            field = struct.pack("<I", offset + len(body))
-            body += raw + b"\0" * (len(raw) % 2)
-        table += struct.pack("<HHI", tag, kind, count) + field
-    Path(path).write_bytes(b"II*\0" + struct.pack("<I", at) + data + struct.pack("<H", len(entries)) + table + b"\0" * 4 + body)
-
-
 def png(rgba: np.ndarray) -> bytes:
     """PNG of a (rows, cols, 4) uint8 array."""
     rows, cols, _ = rgba.shape

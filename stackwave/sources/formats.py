@@ -9,14 +9,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
 
 from ..functions.geo import Grid
 
 #: Names under which coordinate columns are found, in any case.
-X_NAMES = ("x", "lon", "longitude", "lng", "easting", "xs", "lons")
-Y_NAMES = ("y", "lat", "latitude", "northing", "ys", "lats")
+X_NAMES = ("x", "xs", "lon", "longitude", "long", "longs", "longitudes", "lons", "lng", "easting")
+Y_NAMES = ("y", "ys", "lat", "latitude", "lats", "latitudes", "northing")
 
 
 def ascii_header(lines: DataFrame) -> DataFrame:
@@ -125,51 +123,44 @@ def dimension_select(table: DataFrame, **labels: object) -> DataFrame:
     return table
 
 
-class RasterTextSource(DataSource):
-    """A folder of ESRI ASCII rasters as a table: spark.dataSource.register(RasterTextSource), then read.format("asciigrid").
+_KEYS = frozenset("ncols nrows xllcorner yllcorner xllcenter yllcenter cellsize nodata_value".split())
 
-    One partition a file; files that can't be parsed give no rows.  The files must be reachable from every executor.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "asciigrid"
-
-    def schema(self) -> str:
-        return "path string, row int, col int, value double"
 
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _RasterTextReader(self.options)
+def ascii_array(text: str) -> tuple[np.ndarray, float | None]:
+    """The array of an ESRI ASCII raster and its nodata value; a ValueError unless all of it can be read."""
+    head: dict[str, float] = {}
+    lines = text.split("\n")
+    at = 0
+    while at < len(lines) and (words := lines[at].split()) and words[0].lower() in _KEYS:
+        head[words[0].lower()] = float(words[1]) if len(words) == 2 else float("nan")
+        at += 1
+    shape = int(head.get("nrows", -1)), int(head.get("ncols", -1))
+    values = np.array(" ".join(lines[at:]).split(), float)
+    if min(shape) < 0 or values.size != shape[0] * shape[1]:
+        raise ValueError("not a whole ASCII raster")
+    return values.reshape(shape), head.get("nodata_value")
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def ascii_cells(files: DataFrame) -> DataFrame:
+    """(path, row, col, value) of ESRI ASCII rasters, rows of path and content; nodata is null.
 
+    A file is read whole before any of its cells go out, a row at a time, so one that can't be read has no cells at all.
+    """
 
-class _RasterTextReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = options
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                try:
+                    array, nodata = ascii_array((content.as_py() or b"").decode())
+                except (ValueError, IndexError, OverflowError):
+                    continue
+                for r, v in enumerate(array):
+                    gone, n = np.isnan(v) | (v == nodata if nodata is not None else False), len(v)
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(np.full(n, r, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(v, mask=gone)], names=["path", "row", "col", "value"])
 
-    def partitions(self) -> list[InputPartition]:
-        import glob
+    return files.select("path", "content").mapInArrow(run, "path string, row int, col int, value double")
 
-        return [_File(p) for p in sorted(glob.glob(f"{self.options['path']}/{self.options.get('pattern', '**/*.asc')}", recursive=True))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        header: dict[str, float] = {}
-        with open(partition.path) as lines:
-            row = 0
-            for line in lines:
-                words = line.split()
-                if len(words) == 2 and words[0][:1].isalpha():
-                    header[words[0].lower()] = float(words[1])
-                    continue
-                try:
-                    values = [float(w) for w in words]
-                except ValueError:
-                    return
-                nodata = header.get("nodata_value")
-                for col, v in enumerate(values):
-                    yield partition.path, row, col, None if v == nodata or v != v else v
-                row += 1
+def read_ascii(spark: SparkSession, path: str, pattern: str = "*.asc") -> DataFrame:
+    """``ascii_cells`` of the files under a folder, of any store that Spark reads."""
+    return ascii_cells(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path))

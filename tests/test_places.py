@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import zipfile
+from dataclasses import replace
 from datetime import date
 from pathlib import Path
 
@@ -106,9 +107,12 @@ def test_files(spark, tmp_path):
     assert O.points_from_geojson(spark, str(tmp_path / "s.geojson")).select("x", "y").first() == (3.0, 4.0)
     assert O.profile_from_json(O.profile_json(GRID)) == GRID
     (tmp_path / "g.asc").write_text("ncols 2\nnrows 2\nxllcorner 0\nyllcorner 0\ncellsize 1\nNODATA_value -1\n1 2\n-1 4\n")
-    spark.dataSource.register(O.RasterTextSource)
-    got = spark.read.format("asciigrid").option("path", str(tmp_path)).load()
-    assert sorted((r["row"], r["col"], r["value"]) for r in got.collect() if r["value"]) == [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 4.0)]
+    for name, rows in (("short", "1 2\n-1\n"), ("word", "1 2\n-1 x\n"), ("none", "")):  # what can't be read whole has no cells
+        (tmp_path / f"{name}.asc").write_text(f"ncols 2\nnrows 2\ncellsize 1\n{rows}")
+    got = O.read_ascii(spark, str(tmp_path)).collect()
+    assert sorted((r["row"], r["col"], r["value"]) for r in got if r["value"]) == [(0, 0, 1.0), (0, 1, 2.0), (1, 1, 4.0)] and len(got) == 4
+    for k, name in enumerate(("long", "LONGS", "longitudes")):
+        assert O.coordinate_columns(["a", name, "lats"]) == (name, "lats"), k
     with pytest.raises(ValueError):
         O.coordinate_columns(["a", "b"])
     assert G.get_format("LICSAR") is G.LICSAR and M.get_model("linear") is M.LINEAR
@@ -122,9 +126,6 @@ def test_exports(spark, tmp_path):
     K.upsert_tiles(spark.createDataFrame([("z", 0, 1, 9.0, 1)], "pair_id string, row int, col int, value double, tile int"), str(tmp_path / "t"), "tile")
     assert sorted(r["value"] for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1.0, 3.0, 9.0]
     array = K.tile_array(stack.filter("pair_id = 'p'").collect(), 2, 2)
-    K.write_tiff(array, str(tmp_path / "x.tif"), GRID)
-    raw = (tmp_path / "x.tif").read_bytes()
-    assert raw[:4] == b"II*\0" and np.frombuffer(raw[8:24], "<f4")[:2].tolist() == [1.0, 2.0]
     K.write_kmz(array, str(tmp_path / "x.kmz"), GRID, "a & b", 0, 3)
     with zipfile.ZipFile(tmp_path / "x.kmz") as z:
         assert z.read("overlay.png")[:4] == b"\x89PNG" and b"a &amp; b" in z.read("doc.kml")
@@ -209,3 +210,34 @@ def test_plans_have_no_nested_loops(spark):
     for name in ("stack_point_samples", "polygon_pixels", "composite_query", "triplet_closures", "box_predicates", "regrid_nearest", "regrid_bilinear"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_formats_of_ones_own_and_binary_cubes(spark, tmp_path):
+    mine = G.register_format(replace(G.LICSAR, name="Mine"))
+    assert G.get_format("mine") is mine
+    cube = np.arange(24, dtype="<i2").reshape(2, 3, 4)
+    cube[1, 2, 3] = -9
+    (tmp_path / "c.bin").write_bytes(cube.tobytes())
+    got = O.read_binary(spark, str(tmp_path / "c.bin"), replace(GRID, nodata=-9), 2, "BSQ", "<i2").collect()
+    assert len(got) == 24 and all(r["value"] == (None if (r["band"], r["row"], r["col"]) == (2, 2, 3) else cube[r["band"] - 1, r["row"], r["col"]]) for r in got)
+
+
+def test_values_of_a_kind(spark):
+    rows = cells(spark, [(0, 0, 1.5)])
+    assert dict(K.with_dtype(rows, "int16").dtypes)["value"] == "smallint" and K.with_dtype(rows, "float64") is rows
+
+
+def test_mask_of_a_share_of_the_scenes(spark):
+    """One of two scenes is drawn: its cells decide, the same ones for the same seed."""
+    rows = spark.createDataFrame([("a", 0, 0, 1.0), ("a", 0, 1, None), ("b", 0, 0, None), ("b", 0, 1, 1.0)], "pair_id string, row int, col int, phase double")
+    found = [tuple(r["valid"] for r in R.valid_mask(rows, 0.5, seed).orderBy("col").collect()) for seed in range(12)]
+    assert set(found) == {(True, False), (False, True)} and found[0] == tuple(r["valid"] for r in R.valid_mask(rows, 0.5, 0).orderBy("col").collect())
+    assert all(r["valid"] for r in R.valid_mask(rows, 1.0).collect())
+
+
+def test_exact_clusters_are_not_moved_by_the_lattice(spark, monkeypatch):
+    """Points nearer than a cell stay apart as long as they are few."""
+    rows = spark.createDataFrame([(k, float(k % 2) * 0.001 + (1000.0 if k > 5 else 0.0), 0.0) for k in range(8)], "pixel int, ti double, fi double")
+    assert len({r["label"] for r in C.temperature_clusters(rows, 0.0005, "pixel").collect()}) == 4
+    monkeypatch.setattr(C, "CELLS", 1)
+    assert len({r["label"] for r in C.temperature_clusters(rows, 0.0005, "pixel").collect()}) == 1
