@@ -15,6 +15,7 @@ gives an empty one.  lang, source and doc_id are never features.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,14 +106,18 @@ def fit(labelled: DataFrame, cap: int = CAP) -> LanguageModel:
         for b in batches:
             for lo, hi, x, _ in features(b.column(2)):
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "lang", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "lang", "x"])
 
-    table = sample.mapInArrow(run, "doc_id long, lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("x", "ascending")]).combine_chunks()
-    names = np.array(table["lang"].to_pylist(), object)
+    table = sample.mapInArrow(run, "doc_id long, lang string, x binary").toArrow()
+    packed = table["x"].combine_chunks()  # all values are of one length
+    raw = np.frombuffer(packed.buffers()[2], np.float16, len(packed) * _D).reshape(-1, _D) if len(packed) else np.zeros((0, _D), np.float16)
+    order = table.drop_columns("x").append_column("h", pa.array([zlib.crc32(r) for r in raw], pa.int64())).append_column("at", pa.array(np.arange(len(raw)))).sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("h", "ascending")])
+    names = np.array(order["lang"].to_pylist(), object)
     langs = sorted(set(names))
     if not langs:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((_D, 0)), np.zeros(_D), np.zeros(0), np.zeros(0))
-    x = np.frombuffer(b"".join(table["x"].to_pylist()), np.float32).reshape(-1, _D).copy()
+    x = raw[order["at"].to_numpy()].astype(np.float32)
+    del table, packed, raw
     codes = codewords(len(langs))
     y = codes[np.searchsorted(np.array(langs, object), names)]
     mean = x.mean(0)
