@@ -17,7 +17,10 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int, score long")
 
 
-def test_top_k_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [1 << 20, 0])
+def test_top_k_against_brute_force(spark, monkeypatch, bounds):
+    """By chunks' bounds, and, as if they were too many, with every block at every chunk."""
+    monkeypatch.setattr(topk, "BOUND_BYTES", bounds)
     chance = np.random.default_rng(3)
     x = chance.normal(0, 0.3, (900, 24)).astype(np.float32)
     x[200:400] = x[100]  # ties
@@ -39,6 +42,56 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     assert topk.top_k(none, none).count() == 0
 
 
+def test_blocks_meet_few_chunks(spark, monkeypatch):
+    """Vectors of clusters: a block of one cluster's queries doesn't meet the chunks of others, and nothing is lost."""
+    chance = np.random.default_rng(9)
+    centres = chance.normal(0, 1, (6, 32))
+    x = (centres[np.repeat(np.arange(6), 150)] + chance.normal(0, 0.02, (900, 32))).astype(np.float32)
+    x = x[chance.permutation(900)]
+    monkeypatch.setattr(topk, "CHUNK", 50)
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    monkeypatch.setattr(topk, "NEAREST", 2)
+    met, best = [], topk._routes
+
+    def watched(chunks, again):
+        met.append((again, sum(len(p) for p, _ in chunks.values())))
+        return best(chunks, again)
+
+    monkeypatch.setattr(topk, "_routes", watched)
+    table = vectors(spark, [(k, x[k].tolist(), 1, 2) for k in range(900)])
+    got = defaultdict(list)
+    for r in topk.top_k(table, table.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = np.floor(x.astype(float) * 1024).astype(np.int64)
+    for k in range(0, 900, 100):
+        s = q @ q[k]
+        want = [j for j in np.lexsort((np.arange(900), -s)) if j != k][:10]
+        assert got[k] == [(j, s[j]) for j in want]
+    assert [again for again, _ in met] == [False, True] and met[0][1] >= 18
+
+
+def test_bounds_of_chunks_hold():
+    chance = np.random.default_rng(10)
+    v, q = chance.integers(-900, 900, (400, 40)), chance.integers(-900, 900, (30, 40))
+    stats = topk._statistics(v.astype(float), 16)
+    bounds = np.concatenate([stats[:, :16].min(0), stats[:, :16].max(0), stats[:, 16:].max(0)])[None]
+    assert (topk._bounds_of(q, bounds)[:, 0] >= (q @ v.T).max(1)).all()
+
+
+def test_top_k_of_long_and_large_vectors(spark):
+    """Components beyond 32 bits, long vectors, and ids that repeat."""
+    rows = [(k, [(-1.0) ** k * 2.2e6, float(k % 7)], 1, 2) for k in range(40)] + [(100 + k, [0.001 * ((j * k) % 11) for j in range(3000)], 1, 2) for k in range(30)] + [(5, [1e6, 3.0], 1, 2)]
+    got = defaultdict(list)
+    table = vectors(spark, rows)
+    for r in topk.top_k(table, table.filter("vec_id in (0, 100)")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for own in (0, 100):
+        q = {k: [int(np.floor(1024 * float(np.float32(x)))) for x in v] for k, v, *_ in rows if len(v) == len(rows[0 if own == 0 else 40][1])}
+        every = [(k, v) for k, v, *_ in rows if len(v) == len(q[own])]
+        s = sorted((-sum(a * int(np.floor(1024 * float(np.float32(b)))) for a, b in zip(q[own], v, strict=True)), k) for k, v in every if k != own)[:10]
+        assert got[own] == [(k, -x) for x, k in s]
+
+
 def test_bounds_never_lose_a_neighbour():
     chance = np.random.default_rng(4)
     v = chance.integers(-500, 500, (3000, 50))
