@@ -35,6 +35,44 @@ def test_language_of_held_out_rows(spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} >= {r[0] for r in bilingual()}
 
 
+def test_language_against_plain_decoding(spark):
+    """Features by a dictionary of n-grams, losses and posteriors by loops, for whole texts."""
+    rows = bilingual(120) + [row(1000 + k, r[1], r[2]) for k, r in enumerate(odd_rows())]
+    docs = frame(spark, rows)
+    model = langid.fit(langid.training_rows(docs))
+    got = {r["doc_id"]: r for r in langid.identify(docs, model).collect()}
+    for doc_id, text, *_ in rows[::3] + rows[120:]:
+        if doc_id == 1005:
+            continue  # the very long text, as a repetition of words, is left to the vectors
+        data = [(b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalpha() else 32 for b in (text or "").encode()]
+        counts = Counter()
+        for size, salt in ((2, 0x9E3779B1), (3, 0x85EBCA77)):
+            for j in range(len(data) - size + 1):
+                gram = 0
+                for b in data[j : j + size]:
+                    gram = gram << 8 | b
+                h = (gram + size) * salt % 2**32
+                h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                counts[h >> 20] += 1
+        x = np.zeros(4096)
+        for k, n in counts.items():
+            x[k] = math.sqrt(n / sum(counts.values()))
+        margin = [sum((x - model.mean) * model.weights[:, bit]) + model.bias[bit] for bit in range(model.codes.shape[1])]
+        loss = [sum(w * math.log1p(math.exp(-m * c)) for w, m, c in zip(model.bit_weights, margin, code, strict=True)) for code in model.codes]
+        p = [math.exp(-z) / sum(math.exp(-y) for y in loss) for z in loss]
+        letters = any(ch.isalpha() for ch in text or "")
+        want = model.langs[p.index(max(p))] if letters else "und"
+        assert got[doc_id]["lang_pred"] == want and abs(got[doc_id]["score"] - (max(p) if letters else 0)) < 1e-3
+
+
+def test_learned_languages_are_bounded(spark, monkeypatch):
+    """Many languages share the bound; reruns learn the same from other partitions."""
+    monkeypatch.setattr(langid, "TOTAL", 60)
+    rows = [row(k, f"text of number {k} {'abcdefghij'[k % 10] * 5}", f"l{k % 10}") for k in range(600)]
+    a, b = (langid.fit(frame(spark, rows).repartition(n)) for n in (1, 5))
+    assert a.langs == [f"l{k}" for k in range(10)] and np.allclose(a.weights, b.weights, atol=1e-5)
+
+
 def test_language_of_null_ids_and_without_labels(spark):
     docs = frame(spark, [row(None, "some text", "en"), row(1, "text", None)])
     model = langid.fit(langid.training_rows(docs))
@@ -470,3 +508,51 @@ def test_quality_of_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, table.limit(0))).collect()} == {0.0}
     assert quality.score(docs.limit(0), model).count() == 0
+
+
+def test_measures_against_plain_counts():
+    """Every measure of whole texts by plain Python."""
+    chance = random.Random(31)
+    texts = [None, "", "  ", "one", "A a a! B?? | 12 ...\nsame line\nsame line\nother", "ÄÖ über 漢字 x" * 3, *(" ".join(chance.choice(["word", "Word,", "x", "$$$", "a" * 25, "9", "|", "the.", "\nnew", "line\n"]) for _ in range(chance.randrange(80))) for _ in range(30))]
+    got = quality.measures(pa.array(texts))
+    marks = {b for b in range(33, 127) if not chr(b).isalnum()} - set(b".,'-:;()\"?")
+    for text, f in zip(texts, got, strict=True):
+        raw = (text or "").encode()
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in raw)
+        words, cased = re.findall(rb"[^\x20\x09-\x0D]+", low), re.findall(rb"[^\x20\x09-\x0D]+", raw)
+        if not words:
+            assert not f.any()
+            continue
+        n, lines = len(words), [re.findall(rb"[^\x20\x09-\x0D]+", x) for x in low.split(b"\n")]
+        upper, letters = sum(65 <= b <= 90 for b in raw), sum(chr(b).isalpha() or b >= 128 for b in raw)
+        seen, again = set(), 0
+        for line in lines:
+            again += len(line) * (bool(line) and tuple(line) in seen)
+            seen.add(tuple(line))
+        want = [
+            math.log1p(n), len(set(words)) / n, sum(a == b for a, b in zip(words, words[1:])) / n, max(Counter(words).values()) / n, upper / max(letters, 1), sum(b in marks for b in raw) / len(raw),  # noqa: B905
+            sum(48 <= b <= 57 for b in raw) / len(raw), sum(map(len, words)) / n / 10, sum(b in marks and a == b for a, b in zip(raw, raw[1:])) / n, sum(w[-1] in marks for w in cased) / n, raw.count(b"|") / n,  # noqa: B905
+            math.log1p(n / (raw.count(b"\n") + 1)), again / n, sum(b in b".?:;" for b in raw) / n, sum(b >= 128 for b in raw) / len(raw), sum(len(w) > 20 for w in words) / n,
+        ]
+        assert np.allclose(f, want), (text, f, want)
+
+
+def test_quality_ranks_by_preferences(spark):
+    """The learned weights lower the loss on preference pairs below that of any single measure, and equal texts get equal scores."""
+    rows, labels = labelled(spark)
+    rows += [row(2000 + k, rows[k][1]) for k in range(40)]
+    docs, table = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, table)
+    got = {r["doc_id"]: r for r in quality.score(docs, model).collect()}
+    assert all(got[k]["score"] == got[2000 + k]["score"] for k in range(40))
+    y = np.array([q for _, q, _ in labels])
+    f = quality.measures(pa.array([r[1] for r in rows[:400]]))
+
+    def loss(s):
+        d = (s[y == 1][:, None] - s[y == 0][None]).reshape(-1)
+        return np.logaddexp(0, -d).mean()
+
+    single = min(loss(k * (f[:, j] - f[:, j].mean()) / (f[:, j].std() + 1e-9)) for j in range(f.shape[1]) for k in (-3, -1, 1, 3))
+    assert loss(np.array([got[k]["ranking"] for k in range(400)])) < single
+    order = np.argsort([got[k]["ranking"] for k in range(400)])
+    assert (np.diff(np.array([got[k]["score"] for k in range(400)])[order]) >= 0).all()
