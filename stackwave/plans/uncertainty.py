@@ -106,3 +106,11 @@ def propagate_table(variances: DataFrame, matrix: DataFrame, *keys: str) -> Data
     """
     rows = variances.join(matrix, "pair_id").groupBy(*keys, "parameter")
     return rows.agg(F.sum(F.col("variance") * F.col("square")).alias("variance"))
+
+
+def batch_rows(images: int, parameters: int, memory: int, itemsize: int = 8) -> int:
+    """Rows of an Arrow batch (spark.sql.execution.arrow.maxRecordsPerBatch) whose weighted propagation stays within ``memory`` bytes of a task.
+
+    A row's working set is its gain and a product of the same size, images by parameters, and the weighted design.
+    """
+    return max(1, memory // (itemsize * images * (2 * parameters + images)))

@@ -281,3 +281,29 @@ def netcdf_selection(spark, sf):
 def netcdf_variables(spark, sf):
     """The number of records of each file of the cube."""
     return C.variables(_cubes(spark, sf)).filter("variable = 'phase'").select("path", F.col("shape")[0].alias("scenes"))
+
+
+@query("SELECT pair_id, r, c, CASE WHEN isfinite(phase) THEN CAST(CAST(phase AS FLOAT) AS DOUBLE) END AS phase, CAST(CAST(coh AS FLOAT) AS DOUBLE) AS coh FROM gaps WHERE j - i = 1 AND i % 5 <> 0 AND j % 7 <> 0")
+def interferogram_files(spark, sf):
+    """Phase and coherence files of one product, some of each missing, some broken: pixels of the pairs that have both."""
+    grid = A.image_grid(spark, sf)
+    rows = A.with_missing(A.stack(spark, sf, 1))
+
+    def files(value, some, end):
+        made = W.tiff_bytes(rows.filter(some).select("pair_id", "row", "col", F.col(value).alias("value")), grid, "pair_id")
+        return made.select(F.concat(F.lit("/p/S1AA_"), F.replace("pair_id", F.lit("_"), F.lit("T101112_")), F.lit(f"T101112_VVP012_INT80_{end}.tif")).alias("path"), "content")
+
+    broken = files("coh", "i % 5 = 0", "unw_phase").select("path", F.substring("content", 1, 20).alias("content"))
+    every = files("phase", "i % 5 <> 0", "unw_phase").union(files("coh", "j % 7 <> 0", "corr")).union(broken)
+    return T.interferograms(every, S.HYP3).filter("coh is not null").withColumnsRenamed(_RC).select("pair_id", "r", "c", "phase", "coh")
+
+
+@query("SELECT pair_id, r, c, CAST(CAST(round((phase - m) * 1000) AS FLOAT) AS DOUBLE) AS value FROM ifg JOIN ref USING (pair_id) WHERE j - i = 1", ref="SELECT pair_id, avg(phase) AS m FROM ifg WHERE u % 10 = 3 GROUP BY pair_id")
+def rereferenced_files(spark, sf):
+    """Scenes less their reference mean, in thousandths, exported as files and read again."""
+    rows = A.stack(spark, sf, 1)
+    user = F.col("row") * A.COLUMNS + F.col("col")
+    points = rows.select("row", "col").distinct().filter(user % 10 == 3)
+    value = R.rereference(rows, points).select("pair_id", "row", "col", F.round(F.col("phase") * 1000).alias("value"))
+    files = W.tiff_bytes(value, A.image_grid(spark, sf), "pair_id").select(F.col("pair_id").alias("path"), "content")
+    return T.cells(files).filter("value is not null").select(F.col("path").alias("pair_id"), F.col("row").alias("r"), F.col("col").alias("c"), "value")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geo import Box, Grid
+from .catalog import ProductFormat, glob_expression
 
 #: Sizes and codes of the TIFF field types.
 _TYPES = {1: (1, "B"), 2: (1, "c"), 3: (2, "H"), 4: (4, "I"), 6: (1, "b"), 8: (2, "h"), 9: (4, "i"), 11: (4, "f"), 12: (8, "d"), 13: (4, "I"), 16: (8, "Q"), 17: (8, "q")}
@@ -292,3 +293,25 @@ def region(some: DataFrame, roi: Box | None = None) -> Box:
     if r[0] is None:
         raise ValueError("no readable file")
     return Box(*r)
+
+
+def interferograms(some: DataFrame, layout: ProductFormat, window: Box | None = None, keep_common: bool = True) -> DataFrame:
+    """(pair_id, row, col, phase, coh) of the pairs whose phase and coherence files are both there and readable.
+
+    The product's layout tells by name which of the files (path, content) hold phase or coherence, and of which pair.
+    """
+    from ..operators.raster import match_scenes
+
+    valid = headers(some).select("path", "valid")
+
+    def scenes(pattern: str) -> DataFrame:
+        own = some.select("path").filter(glob_expression(F.col("path"), pattern))
+        return layout.pairs(own).select("pair_id", "path").join(valid, "path")
+
+    both = match_scenes(scenes(layout.phase), scenes(layout.coherence), keep_common)
+
+    def values(path: str, name: str) -> DataFrame:
+        own = some.join(both.select(F.col(path).alias("path")), "path", "left_semi")
+        return cells(own, window).filter("band = 1").join(both.select("pair_id", F.col(path).alias("path")), "path").select("pair_id", "row", "col", F.col("value").alias(name))
+
+    return values("path_unw", "phase").join(values("path_coh", "coh"), ["pair_id", "row", "col"])

@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stackwave import interop as I
 from stackwave.functions.geo import Box, Grid
 from stackwave.operators import raster as R
+from stackwave.plans import uncertainty as U
 from stackwave.sinks import geotiff as W
 from stackwave.sinks import netcdf as N
 from stackwave.sources import geotiff as T
@@ -264,3 +266,32 @@ def test_masks_of_files(spark):
     assert len(got) == 15 and all(r["valid"] == ((r["row"] + 2 + r["col"] + 2) % 2 == 1) for r in got)
     with pytest.raises(ValueError, match="mask"):
         T.mask(files, Grid(9, 8, 0.0, 8.0, 1.0, 1.0))
+
+
+def test_arrays_and_back(spark, tmp_path):
+    grid = Grid(5, 4, 0.0, 4.0, 1.0, 1.0)
+    array = np.arange(20.0).reshape(4, 5)
+    array[1, 2] = np.nan
+    back = I.to_array(I.from_array(spark, array), grid)
+    assert np.array_equal(back, array, equal_nan=True)
+    with pytest.raises(ValueError, match="cells"):
+        I.to_array(spark.range(0), Grid(10**5, 10**5, 0, 0, 1, 1))
+    names = spark.createDataFrame([("b",), ("a",)], "pair_id string")
+    assert I.names_array(names).tolist() == ["a", "b"]
+    for _ in range(2):
+        log = I.logger("stackwave.test", "DEBUG", str(tmp_path / "x.log"))
+    log.debug("one line")
+    assert len(log.handlers) == 1 and (tmp_path / "x.log").read_text().count("one line") == 1
+
+
+def test_regions_of_datasets(spark):
+    grid = Grid(10, 8, 5.0, 8.0, 1.0, 0.5)
+    rows = R.grid_pixels(spark.range(1), grid).withColumn("value", F.lit(1.0))
+    files = W.tiff_bytes(rows, grid).select(F.lit("a").alias("path"), "content").union(written(spark, b"broken", "b"))
+    assert T.region(T.headers(files)) == grid.bounds and T.region(T.headers(files), Box(0, 0, 1, 1)) == Box(0, 0, 1, 1)
+    with pytest.raises(ValueError, match="readable"):
+        T.region(T.headers(written(spark, b"broken")))
+
+
+def test_batches_fit_memory():
+    assert U.batch_rows(100, 30, 1 << 30) * 8 * 100 * (2 * 30 + 100) <= 1 << 30 and U.batch_rows(10**6, 10**6, 1) == 1
