@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from .shared import discard, materialize
 
 
-def _stars(links: DataFrame) -> DataFrame:
+def _stars(links: DataFrame, rows: int) -> DataFrame:
     """One large-star and one small-star step over a written table of links (a, b) with a > b, which goes.
 
     Both sides of each join are written tables, so a hub's rows meet its one minimum in a plain join, whose skewed partitions the
     planner can split; a sum and a join in one stage could not be.
     """
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-    large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-    least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+    low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low", 2 * rows)
+    large = materialize(both.filter("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large", 2 * rows)
+    least = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low", 2 * rows)
     small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    out = materialize(least.select("a", F.col("m").alias("b")).union(small).distinct(), "stars")
+    out = materialize(least.select("a", F.col("m").alias("b")).union(small).distinct(), "stars", 2 * rows)
     discard(links, low, large, least)
     return out
 
@@ -40,5 +40,5 @@ def connected_components(links: DataFrame) -> DataFrame:
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     links = materialize(links, "links")
     while not _are_stars(links):
-        links = _stars(links)
+        links = _stars(links, links.count())
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

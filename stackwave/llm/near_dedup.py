@@ -96,14 +96,18 @@ def _near(one: int, others: np.ndarray, sketches: np.ndarray, sizes: np.ndarray,
 
 
 def _forest(sketches: np.ndarray, sizes: np.ndarray, parts: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """A spanning forest of the rows' candidate graph, without links inside a part that hangs together already."""
+    """A spanning forest of the rows' candidate graph, without links inside a part that hangs together already.
+
+    A tree is a star around its first row, so that the groups' links are near to what the components make of them.
+    """
     rest, out = np.arange(len(sizes)), []
     while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
+        first, rest = int(rest[0]), rest[1:]
+        queue = [first]
         while queue and len(rest):
             x = queue.pop()
             found = _near(x, rest[parts[rest] != parts[x]], sketches, sizes, threshold)
-            out += [(x, int(y)) for y in found]
+            out += [(first, int(y)) for y in found]
             found = rest[np.isin(parts[rest], np.append(parts[found], parts[x]))]  # and what hangs together with them
             queue += found.tolist()
             rest = np.setdiff1d(rest, found, True)
@@ -124,8 +128,8 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            keys = band_keys(_matrix(batch.column(1))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["band", "node"])
+            keys = band_keys(_matrix(batch.column(2))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), *(pa.array(np.repeat(batch.column(k).to_numpy(), BANDS)) for k in (0, 1))], names=["band", "node", "n_shingles"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -170,7 +174,7 @@ def confirmed(sets: list[np.ndarray], threshold: int, parts: np.ndarray | None =
     """Links on full sets that connect what all links connect: 100 * intersection >= threshold * union.
 
     A row is compared with all rows not compared yet that pass size and estimate and aren't connected with it by now; rows of one part are
-    connected from the start.
+    connected from the start.  What comes out are stars around the first row of what is connected.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
@@ -192,7 +196,10 @@ def confirmed(sets: list[np.ndarray], threshold: int, parts: np.ndarray | None =
             if label[y] != label[x]:
                 label[label == label[y]] = label[x]
                 out.append((x, y))
-    return out
+    firsts: dict[int, int] = {}
+    for y in sorted({y for link in out for y in link}):
+        firsts.setdefault(int(label[y]), y)
+    return [(firsts[int(label[y])], y) for y in sorted({y for link in out for y in link}) if firsts[int(label[y])] != y]
 
 
 def _verify(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
@@ -285,14 +292,14 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: int) -> tuple[D
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "n_shingles", F.col("row.doc_id").alias("row_id"), F.col("row.text_hash").alias("row_hash"), "copies", "sketch"), "classes")
 
     able = classes.filter(100 * F.col("n_shingles") >= threshold * (F.col("n_shingles") + 1))  # smaller sets aren't like any different one
-    bands = able.select("node", "sketch").mapInArrow(_band_rows, "band long, node long")
+    bands = able.select("node", "n_shingles", "sketch").mapInArrow(_band_rows, "band long, node long, n_shingles long")
     crowd = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    members = materialize(bands.join(crowd, "band").join(able.select("node", "n_shingles"), "node"), "members")
+    members = materialize(bands.join(crowd, "band"), "members")
     clusters = _connected(members, "band", ["n_shingles", "sketch"], _candidates, threshold, lambda some: some.join(able.select("node", "sketch"), "node"))
 
     clustered = clusters.withColumnRenamed("component", "cluster").join(classes.select("node", "n_shingles", "row_id", "row_hash"), "node")
     sizes = clustered.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)).alias("blocks"))
-    placed = materialize(clustered.join(sizes, "cluster"), "placed")
+    placed = materialize(clustered.join(sizes, "cluster"), "placed", clusters.count())
 
     def with_texts(some: DataFrame) -> DataFrame:
         found = rows.join(maybe_broadcast(some, 64), rows["doc_id"].eqNullSafe(some["row_id"]) & (rows["text_hash"] == some["row_hash"]))

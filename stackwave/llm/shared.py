@@ -29,14 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it back.
+#: A table of up to so many narrow rows is written by ``FEW`` tasks, whatever number of partitions the session has.
+SMALL, FEW = 1 << 20, 8
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` as Parquet into the shared folder and reads it back; ``rows`` bounds its rows, where that is known.
 
     It cuts the lineage: what follows neither recomputes ``df`` nor depends on an executor that may be lost, and it can
     prune columns.  ``discard`` removes tables that nothing reads any more; the folder's owner removes the rest.
     """
     path = f"{shared_dir(df.sparkSession)}/stackwave-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None or rows > SMALL else df.coalesce(FEW)).write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table
