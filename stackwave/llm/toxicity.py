@@ -5,9 +5,9 @@ the vocabulary, but for words of more than ``MOST_DF`` of all documents that are
 words) that go with one of the labels, under false-discovery control, are marked terms: marked stems join the vocabulary, and the TF-IDF weight
 of a marked term counts ``RELEVANCE`` times, so that of two texts on one subject the tone decides.  Document frequencies are counted over all documents.  A text's vector holds its terms of the vocabulary.
 
-The examples are indexed by their terms in id-aligned blocks; each term keeps the largest weight of every block that has it.  A document's
-bound for a block is the sum of its weights times those maxima.  Blocks are opened by falling bound, the first few and then all others that reach the
-k-th best cosine so far, so the neighbours are exactly the k nearest (ties to the smaller example number).
+The examples, those of like words side by side, are indexed by their terms in blocks of consecutive numbers; each term keeps the largest
+weight of every block that has it.  A document's bound for a block is the sum of its weights times those maxima.  Blocks are opened by falling bound, the
+first few and then all others that reach the k-th best cosine so far, so the neighbours are exactly the k nearest (ties to the smaller number).
 
 Votes weigh 1 / (distance + 0.05) with label 1 counting by its sampling rate; votes of the examples without themselves and their near copies
 calibrate the score isotonically.  A text that shares no term with any example has no neighbours; its score is the rate of label 1.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 
 from .samples import labelled_texts
 from .shared import materialize
-from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, row_slices, string_buffers
+from .textkit import SEPARATORS, HashTable, Words, lowered, mix64, ragged, row_slices, string_buffers
 
 #: Labelled rows of each label that are sampled; neighbours; examples of a block; blocks that are opened first.
-CAP, NEIGHBOURS, BLOCK, FIRST = 2500, 15, 64, 4
+CAP, NEIGHBOURS, BLOCK, FIRST = 2500, 15, 128, 4
 #: Lengths of stems in bytes.
 STEMS = (4, 5, 6, 7, 8)
 #: Words of more than this share of all documents are left out, unless marked: they bring any two texts near each other.
@@ -52,12 +52,6 @@ def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _ragged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers of all ranges."""
-    size = end - start
-    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-
-
 def _all_terms(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, rows, hashes of words, which are stems) for slices of a column; the terms of a row are distinct."""
     raw, offs = string_buffers(lowered(column))
@@ -124,7 +118,7 @@ class ToxicityModel:
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the nearest examples that share a term, without those of one group of near copies."""
         lo, hi = self.entries[terms], self.entries[terms + 1]
-        entry, weight = _ragged(lo, hi), np.repeat(weights, hi - lo)
+        entry, weight = ragged(lo, hi), np.repeat(weights, hi - lo)
         block = self.blocks[entry]
         bound = np.bincount(block, weight * self.maxima[entry])
         order = np.argsort(-bound, kind="stable")
@@ -140,7 +134,7 @@ class ToxicityModel:
             mask[now] = True
             take = mask[block]
             a, e = self.starts[entry[take]], self.starts[entry[take] + 1]
-            posting = _ragged(a, e)
+            posting = ragged(a, e)
             s = np.bincount(self.examples[posting], np.repeat(weight[take], e - a) * self.values[posting])
             new = np.flatnonzero(s)
             if without is not None:
@@ -263,6 +257,16 @@ def _numbered(examples: DataFrame, words: np.ndarray, stems: np.ndarray) -> Data
     return materialize(examples.mapInArrow(run, "doc_id long, label int, part long, terms array<int>, counts array<int>"), "vectors")
 
 
+def _together(terms: pa.Array, df: np.ndarray) -> np.ndarray:
+    """An order of the examples that puts those of like words into one block: by their most, second and third most frequent term."""
+    size, flat = terms.value_lengths().to_numpy(), terms.flatten().to_numpy()
+    row = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((flat, -df[flat], row))
+    start = np.cumsum(size) - size
+    keys = [np.where(size > k, flat[order][np.minimum(start + k, max(len(flat) - 1, 0))], -1) if len(flat) else np.zeros(len(size)) for k in range(3)]
+    return np.lexsort((np.arange(len(size)), *keys[::-1]))
+
+
 def _votes(vectors: DataFrame, model: ToxicityModel) -> tuple[np.ndarray, np.ndarray]:
     """Votes and labels of the examples that have neighbours besides their near copies."""
 
@@ -299,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[in
 
     vectors = _numbered(examples, words, stems)
     table = vectors.toArrow().sort_by([("doc_id", "ascending"), ("part", "ascending")]).combine_chunks()
+    table = table.take(pa.array(_together(table["terms"].combine_chunks(), df))).combine_chunks()
     model = ToxicityModel(words, stems, (np.log((n_docs + 1) / (df + 1)) + 1) * relevance, table["doc_id"].to_numpy(), table["label"].to_numpy(), table["part"].to_numpy(), weight_of_one, rate, none, none, np.zeros(0), none, none, np.zeros(0), np.zeros(1), np.array([rate]))
     size = table["terms"].combine_chunks().value_lengths().to_numpy()
     example, term = np.repeat(np.arange(len(size), dtype=np.int32), size), table["terms"].combine_chunks().flatten().to_numpy()
