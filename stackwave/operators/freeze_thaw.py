@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import season_year
+from .spatial import with_scenes
 
 
 @dataclass(frozen=True)
@@ -163,8 +164,8 @@ def model_block(temperature: DataFrame, acquisitions: DataFrame, seasons: Season
     names = ["e_t", "e_f", *(["v"] if velocity else [])]
     rows = rows.select("site", "date", *names)
     begin = year_spans(temperature, seasons).groupBy("site").agg(F.min("start").alias("_begin"), F.min("year").alias("_year"))
-    first_year = acquisitions.agg(F.min(F.year("date")).alias("_first"))
-    wanted = acquisitions.select("date").distinct().join(F.broadcast(first_year)).join(begin)  # sites by dates, as the result has them
-    early = (F.col("date") < F.col("_begin")) & (F.col("_first") == F.col("_year"))
+    first_year = acquisitions.agg(F.min(F.year("date"))).first()[0]
+    wanted = with_scenes(begin, acquisitions.select("date"))  # sites by dates, as the result has them
+    early = (F.col("date") < F.col("_begin")) & (F.col("_year") == F.lit(first_year))
     rows = wanted.join(rows, ["site", "date"], "left")
     return rows.select("site", "date", *(F.when(early, 0.0).otherwise(F.col(n)).alias(n) for n in names), F.lit(1.0).alias("constant"))

@@ -116,13 +116,3 @@ def sort_loops(table: DataFrame, order: Sequence[str] = ("loop_id",)) -> DataFra
     """Distinct loops with rank (from 0) in the given order, then by name."""
     by = [*order, *(["loop_id"] if "loop_id" not in order else [])]
     return table.dropDuplicates(["loop_id"]).withColumn("rank", F.row_number().over(Window.orderBy(*by)) - 1)
-
-
-def closure(matrix: DataFrame, phase: DataFrame, *pixel: str) -> DataFrame:
-    """(loop_id, pixel, closure): sum of coef * phase; null where a pair of the loop has no phase at the pixel.
-
-    The matrix is as small as the network and is left to the planner to broadcast; phases are aggregated by loop and pixel.
-    """
-    size = matrix.groupBy("loop_id").agg(F.count("*").alias("_n"))
-    rows = phase.join(matrix, "pair_id").groupBy("loop_id", *pixel).agg(F.sum(F.col("coef") * F.col("phase")).alias("_c"), F.count("phase").alias("_k"))
-    return rows.join(size, "loop_id").select("loop_id", *pixel, F.when(F.col("_k") == F.col("_n"), F.col("_c")).alias("closure"))

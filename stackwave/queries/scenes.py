@@ -295,7 +295,7 @@ def interferogram_files(spark, sf):
 
     broken = files("coh", "i % 5 = 0", "unw_phase").select("path", F.substring("content", 1, 20).alias("content"))
     every = files("phase", "i % 5 <> 0", "unw_phase").union(files("coh", "j % 7 <> 0", "corr")).union(broken)
-    return T.interferograms(every, S.HYP3).filter("coh is not null").withColumnsRenamed(_RC).select("pair_id", "r", "c", "phase", "coh")
+    return T.interferograms(every.persist(), S.HYP3).filter("coh is not null").withColumnsRenamed(_RC).select("pair_id", "r", "c", "phase", "coh")
 
 
 @query("SELECT pair_id, r, c, CAST(CAST(round((phase - m) * 1000) AS FLOAT) AS DOUBLE) AS value FROM ifg JOIN ref USING (pair_id) WHERE j - i = 1", ref="SELECT pair_id, avg(phase) AS m FROM ifg WHERE u % 10 = 3 GROUP BY pair_id")
