@@ -46,6 +46,8 @@ _SUSPECT = {"form": "form", "header": "header"} | dict.fromkeys("nav footer asid
 _ROLES = {"banner": "header", "search": "weak", "form": "form"} | dict.fromkeys("navigation contentinfo complementary dialog alertdialog alert menu menubar toolbar".split(), "strong")
 _STRONG = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion promoted replies respond sidebar sidebars signup sponsor sponsored subscribe subscription".split())
 _WEAK = frozenset("disclaimer discussion overlay related reply search share sharing social toolbar widget widgets".split())
+#: Words beside those of ``_WEAK`` that say nothing else; with any other word, as in related-work, the name may be that of a section.
+_BESIDE = frozenset("area article articles bar block bottom box btn button buttons container content element form icon icons inline inner item items left link links list main media more networks news outer panel post posts read right section side stories story this tool tools top wrap wrapper".split())
 _OF_ARTICLE = frozenset("article blog body chapter content entry main news page post section story text title".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _KEEPS = frozenset(("html", "body", "article", "main"))
@@ -97,7 +99,7 @@ def _kind(name: str, attributes: str, in_article: bool) -> str | None:
                 if not _STRONG.isdisjoint(words):
                     found.add("strong")
                 elif not _WEAK.isdisjoint(words):
-                    found.add("weak")
+                    found.add("weak" if "discussion" in words or set(words) - _WEAK - _BESIDE else "strong")
                 elif "header" in words and _OF_ARTICLE.isdisjoint(words):
                     found.add("header")
     return next((k for k in ("strong", "form", "header", "weak") if k in found), None)

@@ -149,6 +149,7 @@ LONG = "The price of a share rose by a good deal in the last quarter, as the fig
         (f"<article>{PROSE}<p>Where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>", "Paragraph", "Where x=2 holds.", 7),
         (f'<div>{PROSE}</div><div class="ad">{LONG}</div><div id="cookie-notice">{LONG * 3}</div><div class="comments"><p>{LONG * 2}</p><p>{LONG}</p></div><footer>{LONG}</footer>', "Paragraph", "Paragraph", 6),
         (f'<div class="sidebar-right page">{PROSE}</div>{MENU}', "Paragraph", "Paragraph", 6),
+        (f'<article>{PROSE}<div class="widget"><p>{LONG}</p></div><div class="related-posts"><p>{LONG}</p></div><section id="discussion"><h2>Discussion</h2><p>{LONG}</p></section></article>', "Paragraph", "The price", 8),
     ],
 )
 def test_density_decides_on_suspects(page, first, last, blocks):
