@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, materialize
+from .shared import SMALL, discard, materialize, uncompiled
 
 
 def _stars(links: DataFrame, rows: int) -> DataFrame:
@@ -39,6 +41,11 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     links = materialize(links, "links")
-    while not _are_stars(links):
-        links = _stars(links, links.count())
+    while True:
+        rows = links.count()
+        with uncompiled(links.sparkSession) if rows <= SMALL else nullcontext():
+            done = _are_stars(links)
+        if done:
+            break
+        links = _stars(links, rows)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

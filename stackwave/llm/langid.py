@@ -109,15 +109,18 @@ def fit(labelled: DataFrame, cap: int = CAP) -> LanguageModel:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary())], names=["doc_id", "lang", "x"])
 
     table = sample.mapInArrow(run, "doc_id long, lang string, x binary").toArrow()
-    packed = table["x"].combine_chunks()  # all values are of one length
-    raw = np.frombuffer(packed.buffers()[2], np.float16, len(packed) * _D).reshape(-1, _D) if len(packed) else np.zeros((0, _D), np.float16)
-    order = table.drop_columns("x").append_column("h", pa.array([zlib.crc32(r) for r in raw], pa.int64())).append_column("at", pa.array(np.arange(len(raw)))).sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("h", "ascending")])
+    parts = [np.frombuffer(c.buffers()[2], np.float16, (c.offset + len(c)) * _D).reshape(-1, _D)[c.offset :] for c in table["x"].chunks if len(c)]  # values of one length, side by side
+    hashes = [zlib.crc32(r) for part in parts for r in part]
+    order = pa.table({"lang": table["lang"], "doc_id": table["doc_id"], "h": pa.array(hashes, pa.int64()), "at": pa.array(np.arange(len(hashes)))}).sort_by([("lang", "ascending"), ("doc_id", "ascending"), ("h", "ascending")])
     names = np.array(order["lang"].to_pylist(), object)
     langs = sorted(set(names))
     if not langs:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((_D, 0)), np.zeros(_D), np.zeros(0), np.zeros(0))
-    x = raw[order["at"].to_numpy()].astype(np.float32)
-    del table, packed, raw
+    place, x, at = np.argsort(order["at"].to_numpy()), np.empty((len(names), _D), np.float32), 0
+    for part in parts:
+        x[place[at : at + len(part)]] = part
+        at += len(part)
+    del table, parts, part
     codes = codewords(len(langs))
     y = codes[np.searchsorted(np.array(langs, object), names)]
     mean = x.mean(0)

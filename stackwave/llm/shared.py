@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,12 +41,28 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     prune columns.  ``discard`` removes tables that nothing reads any more; the folder's owner removes the rest.
     """
     path = f"{shared_dir(df.sparkSession)}/stackwave-{name}-{uuid.uuid4().hex}"
-    (df if rows is None or rows > SMALL else df.coalesce(FEW)).write.parquet(path)
+    if rows is None or rows > SMALL:
+        df.write.parquet(path)
+    else:
+        with uncompiled(df.sparkSession):
+            df.coalesce(FEW).write.parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_at = path
     return table
 
 
+@contextmanager
+def uncompiled(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside aren't compiled stage by stage: for many steps over small tables, whose classes the driver would gather."""
+    key = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Removes tables of ``materialize`` whose readers have all been written themselves."""
     for table in tables:
