@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import decontaminate, htmltext, langid, licenses, mixing, quality, sharding, topk, toxicity
 from .near_dedup import near_duplicates
 from .samples import crc_mod
-from .shared import small_batches
+from .shared import materialize, small_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return _scored(quality.score(docs, model), 5, 0).select("doc_id", "held_out", "score", "predicted", "ranking")
+    rows = materialize(quality.measured(docs), "quality-measures")
+    model = quality.fit_measured(rows, _table(spark, sf_dir, "labels"))
+    return _scored(quality.score_measured(rows, model), 5, 0).select("doc_id", "held_out", "score", "predicted", "ranking")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -557,3 +557,44 @@ def test_quality_ranks_by_preferences(spark):
     assert loss(np.array([got[k]["ranking"] for k in range(400)])) < single
     order = np.argsort([got[k]["ranking"] for k in range(400)])
     assert (np.diff(np.array([got[k]["score"] for k in range(400)])[order]) >= 0).all()
+
+
+def test_quality_learns_from_every_labelled_row(spark):
+    """Knots, deviations, weights, threshold and slope are those of all labelled rows and all pairs of them, in whatever order they come."""
+    chance = random.Random(12)
+    rows, labels = [], []
+    for k in range(10_800):
+        good = k % 2
+        words = [chance.choice(EN) for _ in range(chance.randrange(2, 14))]
+        words += [chance.choice(["$$", "| |", words[0] * 4, words[0]])] * chance.randrange(3 if good else 6)
+        rows.append((k // 2 * 2 + good if k < 10_000 else good + 2 * (k % 3), " ".join(words)))  # the last ones repeat ids
+        labels.append((rows[-1][0], good))
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    model = quality.fit(docs, table)
+    again = quality.fit(docs.repartition(7), table.repartition(3))
+    assert all(np.array_equal(getattr(model, name), getattr(again, name)) for name in vars(model))
+
+    learned = [(t, k % 2) for k, t in rows if zlib.crc32(str(k).encode()) % 5]
+    f, y = quality.measures(pa.array([t for t, _ in learned])), np.array([q for _, q in learned])
+    assert min((y == 0).sum(), (y == 1).sum()) > 4000
+    e = model.expand(f)
+    x, s = np.clip((e - model.mean) / model.scale, -8, 8), model.rank(f)
+    p = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    gradient = (x[y == 0] * p.mean(0)[:, None]).mean(0) - (x[y == 1] * p.mean(1)[:, None]).mean(0) + 1e-3 * model.weights
+    assert np.abs(gradient).max() < 2e-6
+    assert np.allclose(model.mean, e.mean(0), atol=1e-9) and np.allclose(model.scale, e.std(0) + 1e-6, atol=1e-9)
+    assert np.array_equal(model.knots, np.sort(f, axis=0)[[int(q * (len(f) - 1)) for q in (0.03, 0.1, 0.5, 0.9, 0.97)]])
+    assert model.threshold == np.sort(s)[[(y == 0).sum() - 1, (y == 0).sum()]].mean() and model.rate == y.mean()
+    z = s - model.threshold
+    pull = [(z * (1 / (1 + np.exp(-a * z + math.log(7 / 3))) - y)).mean() for a in (model.slope - 1e-4, model.slope + 1e-4)]
+    assert pull[0] < 0 < pull[1]
+
+
+def test_quality_of_equal_measures(spark):
+    """Labelled rows that can't be told apart, one row of each label, and labels of one kind."""
+    docs = spark.createDataFrame([(k, "one two three") for k in range(40)] + [(40, None)], "doc_id long, text string")
+    for labels, want in (([(k, k % 4 > 0) for k in range(40)], None), ([(1, 0), (2, 1)], None), ([(k, True) for k in range(41)], 1.0), ([(k, False) for k in range(41)], 0.0)):
+        model = quality.fit(docs, spark.createDataFrame([(k, int(q)) for k, q in labels], "doc_id long, quality int"))
+        got = quality.score(docs, model).collect()
+        assert len(got) == 41 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if r["doc_id"] < 40}) == 1
+        assert want is None or {r["score"] for r in got} == {want}
