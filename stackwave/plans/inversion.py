@@ -1,7 +1,7 @@
 """Small-baseline inversion: design matrices, per-pixel least squares with missing data, unwrapping errors.
 
 The network (dates and pairs, thousands at most) is known on the driver; pixels are not.  Pixels travel as one row each, with an array of the
-pairs' values in the network's order, and are solved in Arrow batches: pixels of a batch that miss the same pairs share one factorisation.
+pairs' values in the network's order, and are solved in slices of Arrow batches: pixels of a slice that miss the same pairs share one factorisation.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def series(stack: DataFrame, network: Network, *pixel: str, value: str = "phase"
         with np.errstate(invalid="ignore"):
             return [(np.bincount(at, v, width * b.num_rows) / np.where(count, count, np.nan)).reshape(width, b.num_rows)]
 
-    return _per_batch(rows, pixel, ("d",), work)
+    return _per_batch(rows, pixel, ("d",), work, 8 * width)
 
 
 def solve(g: np.ndarray, d: np.ndarray, more: np.ndarray | None = None) -> np.ndarray:
@@ -135,10 +135,13 @@ def solve(g: np.ndarray, d: np.ndarray, more: np.ndarray | None = None) -> np.nd
 def _rows(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     """(width, pixels) matrix of an array column; null arrays and elements are NaN."""
     at = batch.column(column)
-    flat = at.flatten().to_numpy(zero_copy_only=False).astype(float)
+    flat = at.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
     if at.null_count or len(flat) != width * len(at):
-        rows = [x if x is not None and len(x) == width else [None] * width for x in at.to_pylist()]
-        flat = np.array(rows, float).reshape(-1)
+        size = at.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        fine = size == width
+        rows = np.full((len(at), width), np.nan)
+        rows[fine] = flat[np.repeat(fine, size)].reshape(-1, width)
+        return rows.T
     return flat.reshape(-1, width).T
 
 
@@ -149,13 +152,19 @@ def _lists(matrix: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(flat, from_pandas=True))
 
 
-def _per_batch(df: DataFrame, keep: Sequence[str], names: Sequence[str], work: Callable[[pa.RecordBatch], list[np.ndarray]]) -> DataFrame:
-    """Maps batches to the kept columns and new array columns."""
+#: Bytes of a task's working set, whatever the session's batches are; a slice has a row at least.
+SLICE = 16 << 20
+
+
+def _per_batch(df: DataFrame, keep: Sequence[str], names: Sequence[str], work: Callable[[pa.RecordBatch], list[np.ndarray]], row: int) -> DataFrame:
+    """Maps batches to the kept columns and new array columns, in slices; ``row`` is the number of floats that ``work`` holds a row."""
     kinds = dict(df.dtypes)
+    step = max(1, SLICE // (8 * max(row, 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
                 yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *map(_lists, work(b))], names=[*keep, *names])
 
     return df.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keep), *(f"`{n}` array<double>" for n in names)]))
@@ -171,7 +180,7 @@ def invert(pixels: DataFrame, design: Design, *pixel: str, d: str = "d") -> Data
         residual = values - g @ x
         return [x[: design.increments], x[design.increments :], residual[:n_pairs], residual[n_pairs:]]
 
-    return _per_batch(pixels, pixel, ("increments", "parameters", "residual_pair", "residual_model"), work)
+    return _per_batch(pixels, pixel, ("increments", "parameters", "residual_pair", "residual_model"), work, 6 * len(g) + 4 * g.shape[1])
 
 
 def increments_table(solved: DataFrame, network: Network, *pixel: str) -> DataFrame:
@@ -228,7 +237,7 @@ def closures(pixels: DataFrame, loops: DataFrame, network: Network, *pixel: str,
         return [out]
 
     names = F.lit([name for name, _ in table]) if table else F.array().cast("array<string>")
-    rows = _per_batch(pixels, pixel, ("_c",), work)
+    rows = _per_batch(pixels, pixel, ("_c",), work, 3 * len(table) + 2 * len(network.pairs))
     return rows.select(*pixel, F.inline(F.arrays_zip(names.alias("loop_id"), F.col("_c").alias("closure")))).select("loop_id", *pixel, "closure")
 
 
@@ -253,7 +262,7 @@ def unwrap_errors(pixels: DataFrame, loops: DataFrame, network: Network, *pixel:
                 u[np.ix_(np.flatnonzero(closing), np.flatnonzero(gone))] = solve(part, close[:, gone]) / (2 * np.pi)
         return [u]
 
-    return _per_batch(pixels, pixel, ("u",), work)
+    return _per_batch(pixels, pixel, ("u",), work, 4 * len(c) + 6 * len(network.pairs))
 
 
 def unwrap_corrected(pixels: DataFrame, errors: DataFrame, *pixel: str, d: str = "d") -> DataFrame:

@@ -62,28 +62,32 @@ def parameters(df: DataFrame, g: np.ndarray | Sequence[np.ndarray], *keys: str,
         out[:, none] = np.nan
         return [out]
 
-    return _per_batch(df, keys, ("variance",), work)
+    return _per_batch(df, keys, ("variance",), work, 3 * sum(m.shape))
 
 
 def parameters_weighted(df: DataFrame, g: np.ndarray, *keys: str, variance: str = "variance", exact: bool = True) -> DataFrame:
-    """As ``parameters`` with each row's own weights, one over its standard deviations; ``exact`` false gives diag((G_w'G_w)^-1), equal for full data."""
+    """As ``parameters`` with each row's own weights, one over its standard deviations; ``exact`` false gives diag((G_w'G_w)^-1), equal for full data.
+
+    A row holds its weighted design, its gain of the same size and two matrices of the parameters.
+    """
 
     def work(b: pa.RecordBatch) -> list[np.ndarray]:
         v = _rows(b, variance, len(g))
         out = np.full((g.shape[1], v.shape[1]), np.nan)
         fine = (v > 0).all(0)
         if fine.any():
-            inverse = 1 / v[:, fine].T
-            normal = np.einsum("ji,pj,jk->pik", g, inverse, g)
-            cov = np.linalg.inv(normal)
+            own = v[:, fine].T
+            weighted = g.T / own[:, None, :]
+            cov = np.linalg.inv(weighted @ g)
             if exact:
-                m = np.einsum("pik,jk,pj->pij", cov, g, inverse)
-                out[:, fine] = np.einsum("pij,pj,pij->ip", m, v[:, fine].T, m)
+                m = cov @ weighted
+                np.multiply(m, m, out=m)
+                out[:, fine] = (m @ own[:, :, None])[:, :, 0].T
             else:
                 out[:, fine] = np.einsum("pii->ip", cov)
         return [out]
 
-    return _per_batch(df, keys, ("variance",), work)
+    return _per_batch(df, keys, ("variance",), work, 2 * g.size + 3 * g.shape[1] ** 2 + 3 * len(g))
 
 
 def parameters_of_covariance(df: DataFrame, g: np.ndarray, *keys: str, covariance: str = "covariance", full: bool = False) -> DataFrame:
@@ -96,7 +100,7 @@ def parameters_of_covariance(df: DataFrame, g: np.ndarray, *keys: str, covarianc
         out = np.einsum("ij,pjk,lk->pil", m, c, m)
         return [out.reshape(len(out), -1).T if full else np.einsum("pii->ip", out)]
 
-    return _per_batch(df, keys, ("covariance" if full else "variance",), work)
+    return _per_batch(df, keys, ("covariance" if full else "variance",), work, 2 * n * n + 3 * len(m) ** 2)
 
 
 def propagate_table(variances: DataFrame, matrix: DataFrame, *keys: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import tracemalloc
 import zipfile
 from dataclasses import replace
 from datetime import date
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -175,6 +177,42 @@ def test_uncertainty_identities(spark):
     assert np.allclose(chain, np.diag(np.linalg.pinv(h) @ m @ np.diag(v) @ m.T @ np.linalg.pinv(h).T))
 
 
+class OneBatch:
+    """Stands for a table of one Arrow batch: what is mapped runs here, and its peak of numpy's memory is kept."""
+
+    def __init__(self, batch, **kinds):
+        self.batch, self.dtypes, self.peak = batch, list(kinds.items()), 0
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        tracemalloc.start()
+        try:
+            out = [(len(b), b.column(0).to_pylist(), b.column(1)) for b in run(iter([self.batch]))]
+            self.peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        return sum((k for _, k, _ in out), []), pa.concat_arrays([v for *_, v in out])
+
+
+def chain_matrix(n):
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, min(i + 4, n))]
+    return np.array([[float(i <= k < j) for k in range(n - 1)] for i, j in pairs])
+
+
+def test_weighted_variances_of_a_large_batch_take_a_slice_of_memory():
+    g, rows = chain_matrix(30), 6000
+    v = np.random.default_rng(3).uniform(0.5, 1.5, (rows, len(g)))
+    lists = v.tolist()
+    lists[7], lists[5000], lists[5001], lists[5002] = None, lists[5000][:-1], [None, *lists[5001][1:]], [0.0, *lists[5002][1:]]
+    table = OneBatch(pa.RecordBatch.from_pydict({"k": pa.array(range(rows)), "variance": pa.array(lists, pa.list_(pa.float64()))}).slice(2), k="bigint", variance="array<double>")
+    keys, got = U.parameters_weighted(table, g, "k")
+    assert table.peak < 64 << 20  # a gain a row of the batch alone is 117 MB
+    assert keys == list(range(2, rows))
+    for k in (2, 6, 7, 8, 4999, 5000, 5001, 5002, 5003, rows - 1):
+        whole = k not in (7, 5000, 5001, 5002)
+        want = np.diag(np.linalg.inv(g.T @ (g / v[k][:, None]))) if whole else [None] * g.shape[1]
+        assert np.allclose(got[k - 2].as_py(), want, rtol=1e-10) if whole else got[k - 2].as_py() == want
+
+
 def test_streams_agree_with_batches(spark, tmp_path):
     rows = spark.range(40).select((F.col("id") % 4).alias("k"), F.col("id").cast("double").alias("span"), (3 * F.col("id") + F.col("id") % 4).cast("double").alias("value"))
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
