@@ -140,7 +140,7 @@ def regrid(raster: DataFrame, source: Grid, target: Grid, method: str = "nearest
         if far:
             x, y = project(x, y, source.crs, target.crs)
         means = raster.select(*keys, target.row(y).alias("row"), target.col(x).alias("col"), "value").groupBy(*keys, "row", "col").agg(F.avg("value").alias("value"))
-        return cells.join(means, [*keys, "row", "col"], "left").select(*keys, "row", "col", "value")
+        return cells.join(means.hint("merge"), [*keys, "row", "col"], "left").select(*keys, "row", "col", "value")  # never broadcast, whatever the files' size
     x, y = target.x(F.col("col")), target.y(F.col("row"))
     if far:
         x, y = project(x, y, target.crs, source.crs)

@@ -295,6 +295,7 @@ def interferogram_files(spark, sf):
 
     broken = files("coh", "i % 5 = 0", "unw_phase").select("path", F.substring("content", 1, 20).alias("content"))
     every = files("phase", "i % 5 <> 0", "unw_phase").union(files("coh", "j % 7 <> 0", "corr")).union(broken)
+    every = every.repartition(4 * spark.sparkContext.defaultParallelism, "path")  # a row a file; every task of a persisted table sends the metrics of its whole plan
     return T.interferograms(every.persist(), S.HYP3).filter("coh is not null").withColumnsRenamed(_RC).select("pair_id", "r", "c", "phase", "coh")
 
 

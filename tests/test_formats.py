@@ -15,6 +15,7 @@ from stackwave.operators import raster as R
 from stackwave.plans import uncertainty as U
 from stackwave.sinks import geotiff as W
 from stackwave.sinks import netcdf as N
+from stackwave.sources import catalog as S
 from stackwave.sources import geotiff as T
 from stackwave.sources import netcdf as C
 from stackwave.sources import shapefile as H
@@ -295,3 +296,27 @@ def test_regions_of_datasets(spark):
 
 def test_batches_fit_memory():
     assert U.batch_rows(100, 30, 1 << 30) * 8 * 100 * (2 * 30 + 100) <= 1 << 30 and U.batch_rows(10**6, 10**6, 1) == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_of_files_are_not_broadcast(spark):
+    """Files of equal cells are a thousandth of their cells: joins of the cells go by the cells, not by the files' size."""
+    grid = Grid(512, 512, 0.0, 512.0, 1.0, 1.0)
+    rows = R.grid_pixels(spark.range(1), grid).withColumn("value", F.lit(1.0))
+    one = W.tiff_bytes(rows, grid).first()["content"]
+    days = [f"2024010{k}T101112_2024011{k}T101112_VVP012_INT80" for k in range(1, 4)]
+    made = [(f"/p/S1AA_{d}_{end}.tif", bytearray(one if (d, end) != (days[2], "corr") else b"broken")) for d in days for end in ("unw_phase", "corr")]
+    files = spark.createDataFrame(made, "path string, content binary").coalesce(1).persist()
+    files.count()
+    found = T.interferograms(files, S.HYP3)
+    assert found.count() == 2 * 512 * 512
+    found.write.format("noop").mode("overwrite").save()
+    assert sorted(r[0] for r in found.select("pair_id").distinct().collect()) == ["20240101_20240111", "20240102_20240112"]
+    assert "SortMergeJoin" in plan_of(found) and found.select("phase", "coh").distinct().collect() == [(1.0, 1.0)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("InMemoryTableScan") <= 2
+    half = R.regrid(T.cells(files).filter("band = 1").withColumnRenamed("path", "pair_id"), grid, Grid(256, 256, 0.0, 512.0, 2.0, 2.0), "average", "pair_id")
+    assert half.count() == 5 * 256 * 256 and "SortMergeJoin" in plan_of(half)
+    files.unpersist()
