@@ -96,11 +96,13 @@ def parameters_of_covariance(df: DataFrame, g: np.ndarray, *keys: str, covarianc
     n = m.shape[1]
 
     def work(b: pa.RecordBatch) -> list[np.ndarray]:
-        c = _rows(b, covariance, n * n).T.reshape(-1, n, n)
-        out = np.einsum("ij,pjk,lk->pil", m, c, m)
-        return [out.reshape(len(out), -1).T if full else np.einsum("pii->ip", out)]
+        c = _rows(b, covariance, n * n).T.reshape(-1, n)
+        half = (c @ m.T).reshape(-1, n, len(m))  # one product for all rows
+        if full:
+            return [(m @ half).reshape(len(half), -1).T]
+        return [np.einsum("ij,pji->ip", m, half)]
 
-    return _per_batch(df, keys, ("covariance" if full else "variance",), work, 2 * n * n + 3 * len(m) ** 2)
+    return _per_batch(df, keys, ("covariance" if full else "variance",), work, 2 * n * n + n * len(m) + 3 * len(m) ** 2)
 
 
 def propagate_table(variances: DataFrame, matrix: DataFrame, *keys: str) -> DataFrame:

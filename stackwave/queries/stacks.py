@@ -344,7 +344,7 @@ def variance_of_covariance(spark, sf):
     """Pixels with a covariance matrix each: their variances, and 1/4 that all pairs have in common."""
     net, pixels = _series(spark, sf, _variances(A.stack(spark, sf)).withColumn("phase", F.col("variance")))
     n = len(net.pairs)
-    row = lambda v, i: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.when(j == i, v + 0.25).otherwise(F.lit(0.25)))
+    row = lambda v, i: F.concat(F.array_repeat(F.lit(0.25), i), F.array(v + 0.25), F.array_repeat(F.lit(0.25), n - 1 - i))
     full = pixels.select("row", "col", F.flatten(F.transform("d", row)).alias("covariance"))
     rows = U.parameters_of_covariance(full, net.matrix(), "row", "col")
     return rows.select(F.col("row").alias("r"), F.col("col").alias("c"), F.posexplode("variance").alias("parameter", "v")).select("r", "c", "parameter", _r("v").alias("variance"))
